@@ -12,8 +12,13 @@ Exact duplicate tables count once.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+import pyarrow as pa  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paperloom.arrow import batch
 from paperloom.session import materialise
 
 # The delimiters that are tried, and quotes.
@@ -21,62 +26,54 @@ DELIMITERS = [";", ",", "|", "/", "•", "·", "\t", "\n"]
 #: Columns run together may also be set apart by two or more blanks.
 WIDE_GAP = "  "
 _QUOTED = '"(?:[^"]|"")*"|“[^”]*”'
-_BLANKS = r"[ \t\r\f\x{A0}]"
+_BLANKS = " \t\n\r\f\v\xa0\u2002\u2003\u2009\u202f\u3000\ufeff"
 
 #: A delimiter is used for a source if at least this share of the pieces it makes are regular,
 #: that is: they also stand alone, as the whole of some cell or as a piece made by another delimiter.
 MIN_REGULAR = 0.5
 
 
-#: Stands for a wide gap once it has been found; and stand-ins for delimiters that are not used here.
-_GAP = "\x1f"
-_SHIELD = "".join(chr(0xE010 + i) for i in range(len(DELIMITERS)))
-_ALL = "".join(DELIMITERS)
-_CLASS = r"[;,\|/•·\t\n\x1f]"
-_OTHER = _CLASS.replace("[", "[^", 1)
-_PIECE = f"(?s)([ ]*+(?:{_QUOTED})[ ]*+(?:{_CLASS}|$)|{_OTHER}*+{_CLASS}|{_OTHER}++$)"
 
 
-def pieces(cell: Column, used: Column | None = None) -> Column:
+def _pattern(used: tuple[str, ...]) -> re.Pattern:
+    chars = re.escape("".join(d for d in used if d != WIDE_GAP))
+    at = "|".join(([f"[{chars}]"] if chars else []) + (["\t+|[ ]{2,}"] if WIDE_GAP in used else []))
+    if not at:
+        return re.compile(r"(?s)(.+)")
+    return re.compile(rf"(?s)([ ]*(?:{_QUOTED})[ ]*)(?:{at}|$)|((?:(?!{at}).)*)(?:{at})|(.+)$")
+
+
+_patterns: dict[tuple[str, ...], re.Pattern] = {}
+
+
+def pieces(cell: str, used: Sequence[str] = tuple(DELIMITERS)) -> list[str]:
     """The pieces of a cell in order: quotes removed, blanks trimmed, no piece after a final delimiter.
 
-    ``used`` is an array of the delimiters that count (default: all single
-    characters in DELIMITERS); WIDE_GAP in it stands for runs of two or more
-    blanks.  A quoted text is a value only if it fills its piece; other quote
-    signs are ordinary characters.
+    ``used`` has the delimiters that count.  A quoted text is a value only if
+    it fills its piece; other quote signs are ordinary characters.  An empty
+    cell has no pieces.
     """
-    text = cell
-    if used is not None:
-        wide = F.array_contains(used, WIDE_GAP)
-        text = F.when(wide, F.regexp_replace(F.trim(cell), r" {2,}|\t+", _GAP)).otherwise(cell)
-        idle = F.array_except(F.array(*map(F.lit, DELIMITERS)), used)
-        marks = F.array_join(F.transform(idle, lambda d: F.substring(F.lit(_SHIELD), F.instr(F.lit(_ALL), d), F.lit(1))), "")
-        text = F.call_function("translate", text, F.array_join(idle, ""), marks)
+    key = tuple(used)
+    if key not in _patterns:
+        _patterns[key] = _pattern(key)
+    text = cell.strip(" ") if WIDE_GAP in key else cell
     # each match is one piece and the delimiter behind it, or the rest of the cell
-    found = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1))
-    plain = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(_value(text, used is not None)))
-    return F.when(text.rlike(_CLASS), F.transform(found, lambda p: _value(p, used is not None))).otherwise(plain)
+    return [_unquote((m[1] or m[2] or m[3] or "").strip(_BLANKS)) for m in _patterns[key].finditer(text)]
 
 
-def _value(piece: Column, shielded: bool) -> Column:
-    bare = trim_blanks(F.regexp_replace(piece, f"{_CLASS}$", ""))
-    return unquote(F.translate(bare, _SHIELD, _ALL) if shielded else bare)
+def _unquote(piece: str) -> str:
+    if len(piece) >= 2:
+        if piece[0] == piece[-1] == '"':
+            return piece[1:-1].replace('""', '"').strip(_BLANKS)
+        if piece[0] == "“" and piece[-1] == "”":
+            return piece[1:-1].strip(_BLANKS)
+    return piece
 
 
 def trim_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
-def unquote(piece: Column) -> Column:
-    inner = piece.substr(F.lit(2), F.greatest(F.length(piece) - 2, F.lit(0)))
-    plain = F.length(piece) >= 2
-    return (
-        F.when(plain & piece.startswith('"') & piece.endswith('"'), trim_blanks(F.replace(inner, F.lit('""'), F.lit('"'))))
-        .when(plain & piece.startswith("“") & piece.endswith("”"), trim_blanks(inner))
-        .otherwise(piece)
-    )
-
-
 def cells(tables: DataFrame) -> DataFrame:
     """One row per header entry (row_no -1) and cell, with the header of its column.
 
@@ -106,10 +103,14 @@ def run_together(headers: DataFrame, kinds: DataFrame) -> DataFrame:
     ``headers`` has distinct entries in ``header``.  Of the candidates the one
     counts under which all pieces (two at least) are known headers.
     """
-    candidates = headers.where(F.col("header").rlike(r"[;,|/•·\t\n]|  ")).select("header", F.explode(F.array(*map(F.lit, [*DELIMITERS, WIDE_GAP]))).alias("delimiter"))
-    tried = candidates.where(F.expr("instr(header, delimiter) > 0")).select("header", "delimiter", pieces(F.col("header"), F.array("delimiter")).alias("parts"))
+    def parts(batches):
+        for b in batches:
+            rows = [(h, d, pieces(h, [d])) for h in b.column("header").to_pylist() for d in (*DELIMITERS, WIDE_GAP) if d in h]
+            rows = [(h, d, len(p), x) for h, d, p in rows if len(p) >= 2 for x in p]
+            yield batch(rows, ["header", "delimiter", "n", "part"], [pa.string(), pa.string(), pa.int32(), pa.string()])
+
     # parts are joined with the known headers by equality, so the table of kinds may be of any size
-    parts = tried.select("header", "delimiter", F.size("parts").alias("n"), F.explode("parts").alias("part")).where("n >= 2")
+    parts = headers.where(F.col("header").rlike(r"[;,|/•·\t\n]|  ")).select("header").mapInArrow(parts, "header string, delimiter string, n int, part string")
     known = kinds.select(_key(F.col("header")).alias("key")).distinct()
     hit = parts.join(known, _key(F.col("part")) == F.col("key"), "left").groupBy("header", "delimiter", "n").agg(F.count("key").alias("known"))
     return hit.where((F.col("known") == F.col("n")) & (F.col("n") >= 2)).groupBy("header").agg(F.max_by("delimiter", F.struct("n", "delimiter")).alias("delimiter"), F.max("n").alias("width"))
@@ -127,15 +128,29 @@ def infer_delimiters(listed: DataFrame) -> DataFrame:
 
     All counts are aggregated per (source, piece) before anything is shuffled again.
     """
-    d = listed.groupBy("source_key", "cell").agg(F.count("*").alias("copies")).select("*", pieces(F.col("cell")).alias("fine"))
-    whole = d.where(F.size("fine") == 1).select("source_key", F.get("fine", F.lit(0)).alias("piece")).distinct().withColumn("whole", F.lit(True))
-    tried = d.select("source_key", "copies", "cell", "fine", F.explode(F.array(*map(F.lit, DELIMITERS))).alias("delimiter")).where(F.expr("instr(cell, delimiter) > 0"))
-    cut = tried.select("source_key", "delimiter", "copies", pieces(F.col("cell"), F.array("delimiter")).alias("parts"), "fine").where(F.size("parts") > 1)
-    counts = cut.groupBy("source_key", "delimiter").agg(
-        F.sum("copies").alias("cells"),
-        F.avg((F.size(F.filter("parts", lambda p: p != "")) >= F.size("parts") - 1).cast("double")).alias("consistency"),
-    )
-    piece = cut.select("source_key", "delimiter", "copies", F.explode("fine").alias("piece")).where("piece <> ''").groupBy("source_key", "delimiter", "piece").agg(F.sum("copies").alias("copies"))
+    def tried(batches):
+        for b in batches:
+            rows = []
+            for key, cell, n in zip(*(b.column(c).to_pylist() for c in ("source_key", "cell", "copies"))):
+                fine = pieces(cell)
+                if len(fine) == 1:
+                    rows.append((key, None, fine[0], 0, True))
+                for d in DELIMITERS:
+                    cut = pieces(cell, [d]) if d in cell else ()
+                    if len(cut) > 1:
+                        # one row without a piece stands for the cell
+                        rows.append((key, d, None, n, sum(map(bool, cut)) >= len(cut) - 1))
+                        rows += [(key, d, x, n, False) for x in fine if x]
+            yield batch(rows, ["source_key", "delimiter", "piece", "copies", "good"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()])
+
+    d = listed.groupBy("source_key", "cell").agg(F.count("*").alias("copies"))
+    cut = d.mapInArrow(tried, "source_key string, delimiter string, piece string, copies bigint, good boolean")
+    # all about one piece meets here, already summed over the cells of each task
+    by = cut.groupBy("source_key", "delimiter", "piece").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.sum(F.col("good").cast("int")).alias("good"))
+    by = materialise(by)
+    counts = by.where("delimiter IS NOT NULL AND piece IS NULL").select("source_key", "delimiter", F.col("copies").alias("cells"), (F.col("good") / F.col("n")).alias("consistency"))
+    whole = by.where("delimiter IS NULL").select("source_key", "piece", F.lit(True).alias("whole"))
+    piece = by.where("delimiter IS NOT NULL AND piece IS NOT NULL").select("source_key", "delimiter", "piece", "copies")
     regular = piece.join(whole, ["source_key", "piece"], "left").groupBy("source_key", "delimiter").agg((F.sum(F.when(F.col("whole"), F.col("copies")).otherwise(0)) / F.sum("copies")).alias("regularity"))
     return counts.join(regular, ["source_key", "delimiter"], "left").select("source_key", "delimiter", "cells", "consistency", F.coalesce("regularity", F.lit(0.0)).alias("regularity"))
 
@@ -159,6 +174,16 @@ def split_packed(tables: DataFrame, kinds: DataFrame, min_regular: float = MIN_R
     one = listed.join(kept, "source_key").select("doc_id", "page", "table_no", "row_no", "col_no", "cell", "used")
     two = every.where("cell IS NOT NULL").join(runs, "header").select("doc_id", "page", "table_no", "row_no", "col_no", "cell", F.array("delimiter").alias("used"))
     both = one.unionByName(two).distinct()
-    cut = both.select("doc_id", "page", "table_no", "row_no", "col_no", F.posexplode(F.array(pieces(F.col("cell"), F.col("used")))).alias("one", "values"))
-    several = cut.where(F.size(F.array_compact(F.transform("values", lambda v: F.when(v != "", v)))) >= 2)
-    return several.select("doc_id", "page", "table_no", "row_no", "col_no", F.posexplode("values").alias("pos", "value")).where("value <> ''").distinct()
+    def split(batches):
+        keys = ["doc_id", "page", "table_no", "row_no", "col_no"]
+        for b in batches:
+            rows = []
+            for *key, cell, used in zip(*(b.column(c).to_pylist() for c in (*keys, "cell", "used"))):
+                cut = pieces(cell, used)
+                if sum(map(bool, cut)) >= 2:
+                    rows += [(*key, i, x) for i, x in enumerate(cut) if x]
+            yield batch(rows, [*keys, "pos", "value"], [pa.string(), *[pa.int32()] * 5, pa.string()])
+
+    return both.mapInArrow(split, "doc_id string, page int, table_no int, row_no int, col_no int, pos int, value string").distinct()
+
+
