@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leaks, lookalikes, pieces
+from paperloom.llm import leaks, lookalikes, near, pieces
 from paperloom.session import table
 
 
@@ -27,6 +27,21 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return s.join(c, "value").select("doc_id", "seq", F.col("value").alias("content"), "canonical")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversion_results").select(F.col("doc_id").alias("id"), F.col("markdown").alias("text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    members, pairs = near.links(_texts(spark, d), width=3, threshold=0.6)
+    return near.id_pairs(members, pairs).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per file with a text: its group, and its links to other texts (five words, 0.8)."""
+    members, pairs = near.links(_texts(spark, d))
+    return near.groups(members, pairs).withColumnRenamed("id", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -39,5 +54,5 @@ def p7_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.by_benchmark(p7_found(spark, d), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p7_found, p7_clean, p7_benchmarks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks)}
 SQL: dict[str, str] = {}
