@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leaks, lookalikes, near, pieces
+from paperloom.llm import leaks, lookalikes, near, pieces, truncation
 from paperloom.session import table
 
 
@@ -54,5 +54,14 @@ def p7_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.by_benchmark(p7_found(spark, d), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return truncation.rates(docs, truncation.truncated(docs))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
