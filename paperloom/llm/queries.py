@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leaks, lookalikes, near, pieces, truncation
+from paperloom.llm import leaks, lookalikes, near, pieces, scans, truncation
 from paperloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.findings(table(spark, d, "sections"), table(spark, d, "conversion_results")).select("doc_id", "seq", "line_no", "kind").distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "sections"), table(spark, d, "conversion_results"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(table(spark, d, "conversion_results"), table(spark, d, "chunk_profiles"))
 
@@ -63,5 +71,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
