@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import leaks, lookalikes, near, pieces, scans, truncation
+from paperloom.llm import leaks, lookalikes, near, packing, pieces, scans, truncation
 from paperloom.session import table
 
 
@@ -50,6 +50,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.groups(members, pairs).withColumnRenamed("id", "doc_id")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_containers(spark, d), table(spark, d, "pack_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -71,5 +79,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
