@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["packed"]
+NAMES = ["document", "tabular", "packed"]
 
 
 def modules() -> list:
