@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["document", "tabular", "packed"]
+NAMES = ["document", "tabular", "layout", "packed"]
 
 
 def modules() -> list:
