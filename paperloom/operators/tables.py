@@ -279,7 +279,11 @@ def bboxes_overlap(a: Column, b: Column, threshold: float = 0.5) -> Column:
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     area = F.least((a["x1"] - a["x0"]) * (a["y1"] - a["y0"]), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
-    return F.coalesce((w > 0) & (h > 0) & (area > 0) & (w * h > threshold * area), F.lit(False))
+    # least and greatest leave nulls out, so null boxes are named
+    known = a.isNotNull() & b.isNotNull()
+    for k in ("x0", "y0", "x1", "y1"):
+        known = known & a[k].isNotNull() & b[k].isNotNull()
+    return F.coalesce(known & (w > 0) & (h > 0) & (area > 0) & (w * h > threshold * area), F.lit(False))
 
 
 def _signatures(rows: Column) -> Column:

