@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.session import small_rows
+from paperloom.session import materialise, small_rows
 
 # Characters of other scripts that look like a Latin one, and the one they look like.
 _ALIKE = {
@@ -89,6 +89,8 @@ def same_as(sections: DataFrame, refs: DataFrame) -> DataFrame:
             # combining accents and invisible characters make a text longer than its reference, but not many times
             rows = rows.where(F.length(F.translate("value", _UNSEEN, "")) <= 8 * max(r.n for r in keys) + 8)
             rows = rows.withColumn("k", _coarse(mapped(F.col("value")))).where(F.col("k").isin([r.k for r in keys]) if len(keys) <= 2000 else F.col("k").isNotNull()).drop("k")
+    # few rows are left here; read once, used for the classes and for the result
+    rows = materialise(rows)
     found = classes(rows.select("value"), refs.select("value"))
     hit = found.join(refs.withColumnRenamed("value", "canonical"), "canonical").where("value <> canonical")
     return rows.join(hit.select("value", "ref_id"), "value").select("ref_id", "doc_id", "seq").distinct()
