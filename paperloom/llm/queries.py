@@ -80,4 +80,20 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
-SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+_GRAMS = """SELECT {k}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT {k}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {t})"""
+_LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items) WHERE len(w) > 0), ig AS ({_GRAMS.format(k='item_id', t='items')}),
+ lens AS (SELECT DISTINCT n FROM items), d AS (SELECT doc_id, n, w FROM (SELECT doc_id, {_WORDS.format(x='text')} AS w FROM documents WHERE text IS NOT NULL), lens WHERE len(w) >= n), dg AS ({_GRAMS.format(k='doc_id', t='d')}),
+ hits AS (SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (n, g))"""
+_STRETCH = r"'[^\s\pZ\x{85}\x1c-\x1f.!?。！？]+'"
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH m AS (SELECT DISTINCT doc_id, markdown, list_max(list_transform(regexp_extract_all(markdown, {_STRETCH}), lambda x: length(x))) AS s FROM conversion_results WHERE markdown IS NOT NULL)
+ SELECT DISTINCT profile, doc_id, 'oversized' AS kind FROM m, chunk_profiles WHERE length(markdown) > max_chars UNION ALL SELECT DISTINCT profile, doc_id, 'forced' FROM m, chunk_profiles WHERE length(markdown) > max_chars AND s > max_chars""",
+    "p5_found": f"""WITH w AS (SELECT doc_id, {_WORDS.format(x='markdown')} AS w FROM (SELECT DISTINCT doc_id, markdown FROM conversion_results WHERE markdown IS NOT NULL)),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+ SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.6 * (a.n + b.n - c)""",
+    "p7_found": f"WITH {_LEAKS} SELECT item_id, doc_id FROM hits",
+    "p7_benchmarks": f"""WITH {_LEAKS} SELECT benchmark, count(DISTINCT item_id) AS items, count(DISTINCT CASE WHEN doc_id IS NOT NULL THEN item_id END) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items LEFT JOIN hits USING (item_id) GROUP BY benchmark""",
+}
