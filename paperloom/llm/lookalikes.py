@@ -54,22 +54,31 @@ def _coarse(form: Column) -> Column:
     return F.xxhash64(F.regexp_replace(form, "[^bdfmpqvxBDFMPQVX0-9]", ""))
 
 
-def classes(values: DataFrame, preferred: DataFrame | None = None) -> DataFrame:
-    """(value, canonical) for each distinct non-null ``value``.
+def classes(values: DataFrame, preferred: DataFrame | None = None, all_values: bool = True) -> DataFrame:
+    """(value, canonical) for each distinct non-null ``value``; without ``all_values`` only for
+    values that share their coarse key with another value, which leaves out those that stand alone.
 
     The canonical member of a class is its smallest value in ``preferred``, if
     there is one, else the value most rows have; ties go to the smallest in
     code points, so the choice does not depend on the order of rows.
     """
-    v = values.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("copies")).select("value", "copies", F.lit(None).cast("string").alias("wanted"))
+    v = values.where("value IS NOT NULL").select("value", F.lit(1).alias("one"), F.lit(None).cast("string").alias("wanted"))
     if preferred is not None:
-        v = v.unionByName(preferred.where("value IS NOT NULL").select("value", F.lit(0).cast("long").alias("copies"), F.col("value").alias("wanted")).distinct())
-    v = v.withColumn("form", F.collate(mapped(F.col("value")), COLLATION))
-    v.createOrReplaceTempView("paperloom_lookalike_values")
+        v = v.unionByName(preferred.where("value IS NOT NULL").select("value", F.lit(0).alias("one"), F.col("value").alias("wanted")))
+    v = v.withColumn("k", _coarse(mapped(F.col("value"))))
+    # a value alone under its key is a class of its own: only numbers are shuffled to find that out
+    h = F.xxhash64("value")
+    several = v.groupBy("k").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("k")
+    shared = v.join(several, "k", "left_semi").groupBy("value").agg(F.sum("one").alias("copies"), F.min("wanted").alias("wanted"))
+    shared = shared.withColumn("form", F.collate(mapped(F.col("value")), COLLATION))
+    shared.createOrReplaceTempView("paperloom_lookalike_values")
     spark = values.sparkSession
     best = spark.sql("SELECT form, coalesce(min(wanted), min_by(value, struct(-copies, value))) AS canonical FROM paperloom_lookalike_values GROUP BY form")
     best.createOrReplaceTempView("paperloom_lookalike_best")
-    return spark.sql("SELECT DISTINCT v.value, b.canonical FROM paperloom_lookalike_values v JOIN paperloom_lookalike_best b ON v.form = b.form")
+    out = spark.sql("SELECT DISTINCT v.value, b.canonical FROM paperloom_lookalike_values v JOIN paperloom_lookalike_best b ON v.form = b.form")
+    if not all_values:
+        return out
+    return out.unionByName(v.join(several, "k", "left_anti").select("value", F.col("value").alias("canonical")).distinct())
 
 
 def same_as(sections: DataFrame, refs: DataFrame) -> DataFrame:
@@ -91,6 +100,6 @@ def same_as(sections: DataFrame, refs: DataFrame) -> DataFrame:
             rows = rows.withColumn("k", _coarse(mapped(F.col("value")))).where(F.col("k").isin([r.k for r in keys]) if len(keys) <= 2000 else F.col("k").isNotNull()).drop("k")
     # few rows are left here; read once, used for the classes and for the result
     rows = materialise(rows)
-    found = classes(rows.select("value"), refs.select("value"))
+    found = classes(rows.select("value"), refs.select("value"), all_values=False)
     hit = found.join(refs.withColumnRenamed("value", "canonical"), "canonical").where("value <> canonical")
     return rows.join(hit.select("value", "ref_id"), "value").select("ref_id", "doc_id", "seq").distinct()

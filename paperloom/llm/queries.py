@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import leaks, lookalikes, near, packing, pieces, scans, truncation
-from paperloom.session import table
+from paperloom.session import materialise, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,9 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Each section whose content changes, with the one form its class takes."""
-    s = table(spark, d, "sections").where("content IS NOT NULL").select("doc_id", "seq", F.col("content").alias("value")).distinct()
-    c = lookalikes.classes(s.select("value"), table(spark, d, "ref_texts").select(F.col("content").alias("value"))).where("value <> canonical")
-    return s.join(c, "value").select("doc_id", "seq", F.col("value").alias("content"), "canonical")
+    s = table(spark, d, "sections").where("content IS NOT NULL").select("doc_id", "seq", F.col("content").alias("value"))
+    c = lookalikes.classes(s.select("value"), table(spark, d, "ref_texts").select(F.col("content").alias("value")), all_values=False)
+    # the changed values are few beside the sections; they are computed once
+    return s.join(materialise(c.where("value <> canonical")), "value").select("doc_id", "seq", F.col("value").alias("content"), "canonical").distinct()
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
