@@ -7,8 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """What a conversion does.  ``compat`` keeps known defects of the behaviour that is matched:
-    statistics from before the cleaning, flag bits of spans as first read, tables after all prose."""
+    """What a conversion does."""
 
     remove_artifacts: bool = True
     extract_images: bool = True
@@ -18,8 +17,6 @@ class Config:
     llm_model: str | None = None
     llm_api_key: str | None = None
     llm_host: str | None = None
-    ocr_languages: tuple[str, ...] = ("eng",)
     min_repetition: int = 2
     fix_lost_letters: bool = True
     fix_misread_words: bool = True
-    compat: bool = False
