@@ -1,14 +1,16 @@
 """Filling containers of fixed capacity with texts, by a grouping genetic algorithm on islands.
 
 A text is split only if it alone exceeds the capacity: into full containers
-and a rest.  Rests and shorter texts are spread over shards of a bounded number
-of items.  Each shard is worked on by several islands with populations of
-their own.  A crossover takes whole well-filled containers of one parent into
-the other, removes the containers that hold any of their items, and puts the
-displaced items back by best fit, largest first.  Between epochs the elite of
-each island migrates to the next one.  At the end the best island of a shard
-counts; what its poorly filled containers hold is pooled with that of other
-shards and packed again.
+and a rest.  Rests and shorter texts of one size can stand for each other, so
+what is packed is the number of items of each size, over all rows at once: a
+packing is a number of containers for each pattern, and neither grows with the
+rows, only with the capacity.  Several islands have populations of their own,
+which begin with best fit, largest first.  A crossover takes whole well-filled
+containers of one parent into the other, gives up the containers there is no
+more supply for, and puts the displaced items back by best fit.  Between epochs
+the elite of each island migrates to the next one.  A target is done when it
+reaches the lower bound, or when several epochs in a row bring no gain.  At the
+end the items of each size are numbered and dealt to the places for that size.
 
 Null texts have no place; an empty text has zero tokens and takes no room.
 """
@@ -18,20 +20,21 @@ from __future__ import annotations
 import base64
 import bisect
 import random
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from paperloom.arrow import I, L, S, batch, rows
 from paperloom.session import materialise, small_rows
 
-SHARD = 400
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-CHILDREN = 6
-LEVELS = 3
-WELL_FILLED = 0.985
+ISLANDS = 4
+POPULATION = 12
+#: An epoch ends after so many children without a gain, the evolution after so many epochs.
+PATIENCE = 60
+STALLED = 2
+#: Items of one size are numbered in parts of about so many rows, and meet their places in blocks of so many numbers.
+PART, BLOCK = 20_000, 64
 MAX_TARGETS = 1000
 
 
@@ -88,88 +91,205 @@ def best_fit(order: list[int], sizes: list[int], cap: int, bins: list[Bin]) -> l
     return [(sum(sizes[i] for i in h), tuple(h)) for h in held]
 
 
-def fitness(bins: list[Bin], cap: int) -> float:
-    """The mean square of the fill: prefers few containers, and full ones beside emptier ones."""
-    return sum((used / cap) ** 2 for used, _ in bins) / max(1, len(bins))
+Pattern = tuple[tuple[int, int], ...]  # (size, how many of it), largest first
+
+
+def held(pattern: Pattern) -> int:
+    return sum(s * k for s, k in pattern)
+
+
+def best_fit_counts(supply: Counter, cap: int, start: Counter, order: list[int] | None = None) -> Counter:
+    """What ``best_fit`` does with the items of ``supply`` (size to number), for all containers of a pattern at once."""
+    rooms: list[int] = []
+    at: dict[int, list[tuple[dict[int, int], int]]] = {}
+    out: Counter = Counter()
+
+    def put(pattern: dict[int, int], n: int, room: int) -> None:
+        if n and not room:
+            out[tuple(sorted(pattern.items(), reverse=True))] += n
+        elif n:
+            if room not in at:
+                at[room] = []
+                bisect.insort(rooms, room)
+            at[room].append((pattern, n))
+
+    for p, n in start.items():
+        put(dict(p), n, cap - held(p))
+    for s in order or sorted(supply, reverse=True):
+        n = supply[s]
+        while n > 0:
+            i = bisect.bisect_left(rooms, s)
+            new = i == len(rooms)
+            if new:
+                p, c, room = {}, n, cap
+            else:
+                room = rooms[i]
+                p, c = at[room].pop()
+                if not at[room]:
+                    del at[room], rooms[i]
+            k = room // s
+            whole = min(c, n // k)
+            put({**p, s: p.get(s, 0) + k}, whole, room - k * s)
+            n -= whole * k
+            if whole < c and n:
+                # fewer are left than one container takes
+                put({**p, s: p.get(s, 0) + n}, 1, room - n * s)
+                whole, n = whole + 1, 0
+            if not new:
+                put(p, c - whole, room)
+    for room in rooms:
+        for p, n in at[room]:
+            out[tuple(sorted(p.items(), reverse=True))] += n
+    return out
 
 
-def crossover(a: list[Bin], b: list[Bin], sizes: list[int], cap: int, rng: random.Random) -> list[Bin]:
+def fitness(people: Counter, cap: int) -> tuple[int, float]:
+    """The number of containers, then less the mean square of the fill, which prefers full ones beside emptier ones."""
+    n = people.total()
+    return n, -sum(c * (held(p) / cap) ** 2 for p, c in people.items()) / max(1, n)
+
+
+def _blurred(supply: Counter, rng: random.Random) -> list[int]:
+    return sorted(supply, key=lambda s: -s * (1 - 0.25 * rng.random()))
+
+
+def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: random.Random) -> Counter:
     """The well-filled containers of ``b`` in ``a``; what they displace is put back by best fit."""
-    ranked = sorted(b, key=lambda x: (-x[0], x[1]))
+    left, child = Counter(supply), Counter()
+
+    def take(p: Pattern, n: int) -> None:
+        n = min(n, *(left[s] // k for s, k in p))
+        if n > 0:
+            child[p] += n
+            for s, k in p:
+                left[s] -= n * k
+
+    ranked = sorted(b, key=lambda p: (-held(p), p))
     best = ranked[: max(1, len(ranked) // 2)]
-    taken = [x for x in best if rng.random() < 0.5] or best[:1]
-    there = {i for _, items in taken for i in items}
-    keep, displaced = list(taken), []
-    for used, items in a:
-        if there.isdisjoint(items):
-            keep.append((used, items))
-        else:
-            displaced += [i for i in items if i not in there]
-    # the emptiest container gives its items up as well
-    if len(keep) > len(taken):
-        worst = min(range(len(taken), len(keep)), key=lambda k: keep[k][0])
-        displaced += keep.pop(worst)[1]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, cap, keep)
+    for p in [p for p in best if rng.random() < 0.5] or best[:1]:
+        take(p, b[p])
+    # what is not full, and some of what is, gives its items up as well
+    for p in sorted(a, key=lambda p: (-held(p), rng.random())):
+        if held(p) == cap and rng.random() < 0.95:
+            take(p, a[p])
+    left = +left
+    return best_fit_counts(left, cap, child, None if rng.random() < 0.5 else _blurred(left, rng))
 
 
-def evolve(sizes: list[int], cap: int, start: list[list[Bin]], seed: int) -> list[Bin]:
+def evolve_counts(supply: Counter, cap: int, start: list[Counter], seed: int) -> Counter:
     """The best packing one island finds from the packings it is given and its own."""
     rng = random.Random(seed)
-    least = -(-sum(sizes) // cap)
-    people = list(start)
-    while len(people) < POPULATION:
-        blur = 0.0 if not people and seed % ISLANDS == 0 else 0.25
-        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 - blur * rng.random()))
-        people.append(best_fit(order, sizes, cap, []))
-        if len(people[-1]) <= least:
-            return people[-1]
-    people.sort(key=lambda p: (len(p), -fitness(p, cap)))
-    for _ in range(CHILDREN):
-        if len(people[0]) <= least:
-            break
-        a, b = sorted(rng.sample(range(len(people)), 2))
-        child = crossover(people[a], people[b], sizes, cap, rng)
-        people[-1] = child if (len(child), -fitness(child, cap)) < (len(people[-1]), -fitness(people[-1], cap)) else people[-1]
-        people.sort(key=lambda p: (len(p), -fitness(p, cap)))
+    least = -(-sum(s * n for s, n in supply.items()) // cap)
+    worth = lambda p: fitness(p, cap)
+    people = [*start, best_fit_counts(supply, cap, Counter())]
+    people.sort(key=worth)
+    while people[0].total() > least and len(people) < POPULATION:
+        people.append(best_fit_counts(supply, cap, Counter(), _blurred(supply, rng)))
+        people.sort(key=worth)
+    idle = 0
+    while people[0].total() > least and idle < PATIENCE:
+        a, b = rng.sample(people, 2)
+        child = crossover_counts(a, b, supply, cap, rng)
+        idle = 0 if child.total() < people[0].total() else idle + 1
+        if worth(child) < worth(people[-1]) and child not in people:
+            people[-1] = child
+            people.sort(key=worth)
     return people[0]
 
 
-_SCHEMA = "target string, cap bigint, shard bigint, island int, origin int, bin int, doc_id bigint, piece int, size bigint"
-_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
-_TYPES = [S, L, L, I, I, I, L, I, L]
+def _counted(bins: list[Bin], sizes: list[int]) -> Counter:
+    return Counter(tuple(sorted(Counter(sizes[i] for i in items if sizes[i]).items(), reverse=True)) for _, items in bins)
+
+
+def _dealt(people: Counter, sizes: list[int]) -> list[Bin]:
+    """The items of each size, dealt to the containers of a packing; those without a size go to the first."""
+    there: dict[int, list[int]] = {}
+    for i, s in enumerate(sizes):
+        there.setdefault(s, []).append(i)
+    out = [[there[s].pop() for s, k in p for _ in range(k)] for p, n in people.items() for _ in range(n)]
+    if there.get(0):
+        out = out or [[]]
+        out[0] += there[0]
+    return [(sum(sizes[i] for i in h), tuple(h)) for h in out]
+
+
+def crossover(a: list[Bin], b: list[Bin], sizes: list[int], cap: int, rng: random.Random) -> list[Bin]:
+    """``crossover_counts`` for single items."""
+    return _dealt(crossover_counts(_counted(a, sizes), _counted(b, sizes), Counter(s for s in sizes if s), cap, rng), sizes)
+
+
+def evolve(sizes: list[int], cap: int, start: list[list[Bin]], seed: int) -> list[Bin]:
+    """``evolve_counts`` for single items."""
+    return _dealt(evolve_counts(Counter(s for s in sizes if s), cap, [_counted(x, sizes) for x in start], seed), sizes)
+
+
+_PATTERN = pa.list_(pa.struct([("size", pa.int64()), ("k", pa.int64())]))
+_SCHEMA = "target string, cap bigint, island int, origin int, pattern array<struct<size:bigint,k:bigint>>, n bigint"
+_NAMES = ["target", "cap", "island", "origin", "pattern", "n"]
+_TYPES = [S, L, I, I, _PATTERN, L]
 
 
 def _epoch(t: pa.Table) -> pa.Table:
-    """One island's epoch on one shard; ``origin`` tells the packings it is given apart (-1: none)."""
+    """One island's epoch for one target; ``origin`` tells the packings it is given apart (-1: the items alone)."""
     r = t.to_pydict()
     cap, island = r["cap"][0], r["island"][0]
-    ids = sorted(set(zip(r["doc_id"], r["piece"], r["size"])), key=lambda x: (-x[2], x[0], x[1]))
-    at = {x: k for k, x in enumerate(ids)}
-    sizes = [x[2] for x in ids]
-    given: dict[int, dict[int, list[int]]] = {}
-    for o, b, *x in zip(r["origin"], r["bin"], r["doc_id"], r["piece"], r["size"]):
-        if o >= 0:
-            given.setdefault(o, {}).setdefault(b, []).append(at[tuple(x)])
-    start = [[(sum(sizes[i] for i in items), tuple(items)) for _, items in sorted(g.items())] for _, g in sorted(given.items())]
-    best = evolve(sizes, cap, start, seed=island + ISLANDS * len(given))
-    out = [(r["target"][0], cap, r["shard"][0], island, island, k, *ids[i]) for k, (_, items) in enumerate(best) for i in items]
+    given: dict[int, Counter] = {}
+    for o, p, n in zip(r["origin"], r["pattern"], r["n"]):
+        given.setdefault(o, Counter())[tuple((x["size"], x["k"]) for x in p)] += n
+    supply: Counter = Counter()
+    for p, n in next(iter(given.values())).items():
+        for s, k in p:
+            supply[s] += n * k
+    start = [g for o, g in sorted(given.items()) if o >= 0]
+    seed = island + ISLANDS * sum(g.total() for g in start)
+    best = evolve_counts(supply, cap, start, seed + 7919 * r["epoch"][0])
+    out = [(r["target"][0], cap, island, island, [{"size": s, "k": k} for s, k in p], n) for p, n in sorted(best.items())]
     return pa.Table.from_batches([batch(out, _NAMES, _TYPES)])
 
 
-def _evolved(items: DataFrame) -> DataFrame:
-    """(…, bin) of the best island of each shard."""
-    isl = F.array(*map(F.lit, range(ISLANDS)))
-    now = items.select("target", "cap", "shard", F.explode(isl).alias("island"), F.lit(-1).alias("origin"), F.lit(-1).alias("bin"), "doc_id", "piece", "size")
-    for e in range(EPOCHS):
-        now = materialise(now.groupBy("target", "shard", "island").applyInArrow(_epoch, _SCHEMA))
-        if e < EPOCHS - 1:
-            # each island keeps its elite and gets that of the one before it
-            now = now.withColumn("island", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))))
-    used = now.groupBy("target", "shard", "island", "bin").agg(F.sum("size").alias("used"), F.first("cap").alias("cap"))
-    worth = used.groupBy("target", "shard", "island").agg(F.count("*").alias("bins"), F.sum(F.pow(F.col("used") / F.col("cap"), 2)).alias("square"))
-    best = worth.groupBy("target", "shard").agg(F.min_by("island", F.struct("bins", -F.col("square"), "island")).alias("island"))
-    return now.join(best, ["target", "shard", "island"], "left_semi").join(used.drop("cap"), ["target", "shard", "island", "bin"]).drop("island", "origin")
+def _evolved(items: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(target, pattern, n) of the best island of each target, and the containers of each; ``items`` has target, cap, size and n."""
+    one = F.array(F.struct("size", F.lit(1).cast("long").alias("k")))
+    now = items.select("target", "cap", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), F.lit(-1).alias("origin"), one.alias("pattern"), "n")
+    least = {r.target: -(-r.tokens // r.cap) for r in items.groupBy("target", "cap").agg(F.sum(F.col("size") * F.col("n")).alias("tokens")).collect()}
+    bins: dict[str, int] = {}
+    epoch = idle = 0
+    while True:
+        now = materialise(now.withColumn("epoch", F.lit(epoch)).groupBy("target", "island").applyInArrow(_epoch, _SCHEMA))
+        # one row for each target and island, which are bounded
+        got = now.groupBy("target", "island").agg(F.sum("n").alias("bins"), F.sum(F.col("n") * F.pow(F.expr("aggregate(pattern, 0L, (a, x) -> a + x.size * x.k)") / F.col("cap"), 2)).alias("square")).collect()
+        best = {}
+        for r in sorted(got, key=lambda r: (r.bins, -r.square, r.island)):
+            best.setdefault(r.target, r)
+        found = {t: r.bins for t, r in best.items()}
+        idle = 0 if not bins or any(found[t] < bins[t] for t in found) else idle + 1
+        bins, epoch = found, epoch + 1
+        if idle >= STALLED or all(bins[t] <= least[t] for t in bins):
+            break
+        # each island keeps its elite and gets that of the one before it
+        now = now.withColumn("island", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))))
+    chosen = items.sparkSession.createDataFrame([(t, r.island) for t, r in best.items()], "target string, island int")
+    return now.join(F.broadcast(chosen), ["target", "island"], "left_semi").select("target", "pattern", "n"), bins
+
+
+def _placed(rest: DataFrame, packing: DataFrame, parts: int) -> DataFrame:
+    """``rest`` with ``bin``: the items of each target and size, numbered, meet the places its packing has for that size."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # patterns and places are bounded by the capacity
+    p = packing.withColumn("before", zero(F.sum("n").over(earlier(Window.partitionBy("target").orderBy("pattern")))))
+    p = p.select("target", "n", "before", F.inline("pattern"))
+    p = p.withColumn("start", zero(F.sum(F.col("n") * F.col("k")).over(earlier(Window.partitionBy("target", "size").orderBy("before")))))
+    p = p.withColumn("stop", F.col("start") + F.col("n") * F.col("k"))
+    p = p.withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(stop - 1) div {BLOCK}"))))
+    # a size that most items have is numbered in many tasks
+    r = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    n = r.groupBy("target", "size", "part").agg(F.count("*").alias("m"))
+    n = n.withColumn("offset", zero(F.sum("m").over(earlier(Window.partitionBy("target", "size").orderBy("part"))))).drop("m")
+    r = r.withColumn("nth", F.row_number().over(Window.partitionBy("target", "size", "part").orderBy("doc_id", "piece")) - 1)
+    r = r.join(n, ["target", "size", "part"]).withColumn("rank", F.col("offset") + F.col("nth")).withColumn("block", F.expr(f"rank div {BLOCK}"))
+    both = r.join(p, ["target", "size", "block"]).where("rank >= start AND rank < stop")
+    return both.select("target", "cap", "doc_id", "piece", "size", F.expr("before + (rank - start) div k").alias("bin"))
 
 
 def pack(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
@@ -183,7 +303,7 @@ def pack(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFr
         raise ValueError(f"more than {MAX_TARGETS} targets")
     if not todo:
         return docs.sparkSession.createDataFrame([], "target string, container string, doc_id bigint, piece int, first_token bigint, tokens bigint")
-    counts = materialise(token_counts(docs, path))
+    counts = materialise(token_counts(docs, path).distinct())
     n = counts.count()
     caps = F.array(*[F.struct(F.lit(t.target).alias("target"), F.lit(t.capacity_tokens).cast("long").alias("cap")) for t in todo])
     every = counts.select("doc_id", "tokens", F.explode(caps).alias("c")).select("c.target", "c.cap", "doc_id", "tokens")
@@ -192,25 +312,14 @@ def pack(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFr
     filled = whole.where("full >= 1").select("target", "cap", "doc_id", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"))
     filled = filled.select("target", F.concat(F.lit("full-"), "doc_id", F.lit("-"), "piece").alias("container"), "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("first_token"), F.col("cap").alias("tokens"))
     rest = whole.select("target", "cap", "doc_id", F.col("full").cast("int").alias("piece"), (F.col("tokens") - F.col("full") * F.col("cap")).alias("size"), "full").where("size > 0 OR full = 0").drop("full")
-    done: list[DataFrame] = []
-    shards = max(1, n // SHARD)
-    for level in range(LEVELS):
-        last = level == LEVELS - 1 or shards == 1
-        place = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards))
-        packed = materialise(_evolved(rest.withColumn("shard", place)))
-        named = packed.withColumn("container", F.concat_ws("-", F.lit(level), "shard", "bin"))
-        good = named if last else named.where(F.col("used") >= WELL_FILLED * F.col("cap"))
-        done.append(good.select("target", "container", "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("first_token"), F.col("size").alias("tokens")))
-        if last:
-            break
-        rest = named.where(F.col("used") < WELL_FILLED * F.col("cap")).select("target", "cap", "doc_id", "piece", "size")
-        # as many items in a shard as before, so that the emptiest containers of many shards meet
-        most = rest.groupBy("target").count().agg(F.max("count")).first()[0] or 0
-        shards = max(1, most // SHARD)
-    out = filled
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    some = rest.where("size > 0")
+    packing, bins = _evolved(materialise(some.groupBy("target", "cap", "size").agg(F.count("*").alias("n"))))
+    packed = _placed(some, packing, max(1, n * len(todo) // PART))
+    # empty texts take no room, so they are spread over what is there
+    most = F.array_max(F.array(F.lit(1), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for t in todo for x in (t.target, bins.get(t.target, 1))]), F.col("target")), F.lit(1))))
+    empty = rest.where("size = 0").withColumn("bin", F.pmod(F.xxhash64("doc_id"), most))
+    named = packed.unionByName(empty).withColumn("container", F.concat(F.lit("mixed-"), "bin"))
+    return filled.unionByName(named.select("target", "container", "doc_id", "piece", (F.col("piece") * F.col("cap")).alias("first_token"), F.col("size").alias("tokens")))
 
 
 def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:

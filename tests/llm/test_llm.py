@@ -195,6 +195,20 @@ def test_packing_whole(spark):
     assert packing.pack(docs.limit(0), t).count() == 0 and packing.pack(docs, t.limit(0)).count() == 0
 
 
+def test_packing_is_no_worse_than_best_fit_over_all(spark):
+    rng = random.Random(9)
+    n = {i: rng.choice([rng.randint(1, 63), rng.randint(1, 200)]) for i in range(1500)}
+    docs = spark.createDataFrame([(i, "word " * k) for i, k in n.items()], "doc_id bigint, text string")
+    t = spark.createDataFrame([("small", 64), ("big", 300)], "target string, capacity_tokens int")
+    sizes = {r.doc_id: r.tokens for r in packing.token_counts(docs).collect()}
+    got = {r.target: r.containers for r in packing.fill(packing.pack(docs, t), t).collect()}
+    for target, cap in (("small", 64), ("big", 300)):
+        rest = sorted((s % cap for s in sizes.values() if s % cap), reverse=True)
+        plain = packing.best_fit(list(range(len(rest))), rest, cap, [])
+        assert packing.best_fit_counts(packing.Counter(rest), cap, packing.Counter()).total() == len(plain)
+        assert got[target] <= sum(s // cap for s in sizes.values()) + len(plain)
+
+
 # 7 leaks
 
 
