@@ -59,6 +59,17 @@ def test_repaired_text(spark):
     assert text[1] == "The rotor of the long pump is greased and the casing is closed by the rotor of the read-out valve in over- and under-voltage of the pump. The rotor is closed and greased by the fitter with care."
 
 
+def test_wrapped_text_without_noise_is_joined(spark):
+    s, r = scanned(spark)
+    more = [("d", 7, "paragraph", "At the test bay the fitter writes\na report on the annular winding."), ("d", 8, "code", "  x = 1\n\n\n\n  y = 2"), ("d", 9, "table", "| a | b |\n| - | - |\n| c | d |"), ("no scan", 1, "paragraph", "one line")]
+    s = s.select("doc_id", "seq", "type", "content").unionByName(spark.createDataFrame(more, "doc_id string, seq int, type string, content string"))
+    text = {(x.doc_id, x.seq): x.repaired for x in scans.repaired(s, r).collect()}
+    assert text["d", 7] == "At the test bay the fitter writes a report on the annular winding."
+    assert not {("d", 8), ("d", 9), ("no scan", 1)} & set(text)
+    kept = "A paragraph.\n\n```\nx\n\n\n\ny\n```\n\n| a |\n| - |\n\n# Heading"
+    assert scans.repair(kept, "markdown", []) == kept
+
+
 # 2 pieces
 
 
