@@ -32,7 +32,6 @@ _MARKUP = re.compile(r"^\s*(?:>\s*)*(?:#{1,6}\s+)?(?:(?:[-*+•]|\d{1,3}[.)])\s+
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 _CODE_ID = re.compile(r"^[A-Z]{1,4}$")
 _STRIP = ".,;:!?()[]{}\"'“”„«»`*_>|#"
-PREFIX = 64
 #: A lead of two words belongs to sentences if at least this many sentences begin with it, and this many times as many as plain lines do.
 LEAD_LEAST, LEAD_TIMES = 2, 2
 
@@ -191,10 +190,7 @@ def strict_prefixes(values: DataFrame) -> DataFrame:
 
 
 def prefix_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, rest): documents whose text, less a mark of a cut, is a strict prefix of a longer copy, and how that goes on.
-
-    Only texts whose first characters, by a hash, begin other texts too are sorted.
-    """
+    """(doc_id, rest): documents whose text, less a mark of a cut, is a strict prefix of a longer copy, and how that goes on."""
 
     def bared(batches):
         for b in batches:
@@ -205,10 +201,7 @@ def prefix_copies(docs: DataFrame) -> DataFrame:
                 out.append((doc, t[: m.start()].rstrip() if m else t))
             yield batch(out, ["doc_id", "value"], [L, S])
 
-    head = F.xxhash64(F.substring(F.rtrim("text"), 1, PREFIX))
-    texts = docs.where(F.length("text") >= PREFIX).select("doc_id", "text", head.alias("head"))
-    shared = texts.select("head", F.xxhash64("text").alias("whole")).distinct().groupBy("head").agg(F.count("*").alias("n")).where("n > 1")
-    some = texts.join(shared, "head", "left_semi").mapInArrow(bared, "doc_id bigint, value string").where("value <> ''")
+    some = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(bared, "doc_id bigint, value string").where("value <> ''")
     some = materialise(some)
     found = strict_prefixes(some.select("value"))
     return some.join(found, "value").select("doc_id", F.expr("substring(longer, length(value) + 1, 80)").alias("rest"), F.substring("value", -1, 1).alias("last"))
@@ -249,7 +242,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     bad = judged.where(sentence | broken).select("unit")
     doubtful = open_.join(bad, "unit", "left_semi").select("source", "doc_id")
     # longer copies show a cut where the end alone does not: inside a word, or before the rest of a line
-    copies = prefix_copies(docs).where(F.col("rest").rlike(r"^[^\s.!?。！？]") & F.col("last").rlike(r"[^.!?。！？|)`\"]"))
+    copies = prefix_copies(docs).where(F.col("rest").rlike(r"^[^\S\n]*[^\s.!?。！？]") & F.col("last").rlike(r"[^.!?。！？|)`\"]"))
     copied = docs.select("doc_id", "source").join(copies.select("doc_id"), "doc_id", "left_semi").select("source", "doc_id")
     return sure.unionByName(doubtful).unionByName(copied).distinct()
 

@@ -291,3 +291,15 @@ def test_longer_copies_show_cuts(spark):
     rate = {r.source: (r.documents, r.truncated) for r in truncation.rates(d, truncation.truncated(d)).collect()}
     assert rate == {"s": (3, 1), None: (2, 1), "t": (1, 0)}
     assert truncation.truncated(d.limit(0)).count() == 0
+
+
+def test_copies_cut_between_words_or_early_show(spark):
+    long = "- the fitter greases the pump\n- the fitter closes the casing of the pump and then the valve of it"
+    texts = [long, long[: long.index(" and then")], "## Stationary condenser list", "## Stationary condenser list of works [...]", "## Works\n\nText.", "## Works", "## Valve.", "## Valve. More"]
+    # the last lines are complete lines here, so only the copies decide
+    texts.append("The pump list Works works it More and so on.\n- the fitter closes the casing of the pump\n## Stationary condenser list\n## Works\nEnd.")
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    rest = {r.doc_id: r.rest for r in truncation.prefix_copies(docs).collect()}
+    assert rest == {1: " and then the valve of it", 2: " of works", 5: "\n\nText.", 6: " More"}
+    got = {r.doc_id for r in truncation.truncated(docs).collect()}
+    assert {1, 2} <= got and not {5, 6} & got
