@@ -188,6 +188,12 @@ _MATCH = r"""SELECT DISTINCT sample, CASE WHEN sample = upper(sample) THEN 'REPL
  FROM (SELECT regexp_extract(content, '^([A-Za-z]+)', 1) AS sample FROM sections WHERE type = 'heading') WHERE sample <> ''"""
 
 
+def match_case_all(spark, d):
+    """As match_case, with the letters of all scripts: DuckDB cannot follow, so it has no SQL."""
+    x = _sections(spark, d).where("type = 'heading'").select(F.regexp_extract("content", r"^(\p{L}[\p{L}\p{M}]*)", 1).alias("sample")).where("sample <> ''").distinct()
+    return x.select("sample", tx.match_case(F.col("sample"), F.lit("replacement")).alias("cased"))
+
+
 def html_escape(spark, d):
     return _sections(spark, d).where("content IS NOT NULL").select("doc_id", "seq", F.md5(tx.escape_html(F.col("content"))).alias("digest"))
 
@@ -197,6 +203,12 @@ def filename_sanitize(spark, d):
     return t.select("title", tx.sanitize_filename(F.col("title")).alias("file_name"))
 
 
+def filename_sanitize_all(spark, d):
+    """As filename_sanitize, of all titles: DuckDB cannot follow, so it has no SQL."""
+    t = table(spark, d, "conversion_results").select(F.col("metadata.title").alias("title")).where("title IS NOT NULL").distinct()
+    return t.select("title", tx.sanitize_filename(F.col("title")).alias("file_name"))
+
+
 _SANITIZE = r"""SELECT title, CASE WHEN n = '' THEN 'untitled' ELSE n END AS file_name FROM (SELECT title, left(regexp_replace(regexp_replace(regexp_replace(title, '[^\w\s-]', '_', 'g'), '[-\s]+', '_', 'g'), '^_+|_+$', '', 'g'), 50) AS n
  FROM (SELECT DISTINCT metadata.title AS title FROM conversion_results WHERE metadata.title IS NOT NULL AND NOT regexp_matches(metadata.title, '[^\x00-\x7F]')))"""
 
@@ -309,8 +321,10 @@ QUERIES = {
     "whitespace_clean": _md5_of(lambda t: tx.clean_whitespace(F.concat(F.lit("  \n"), F.replace(t, F.lit(". "), F.lit(".  \n\n\n\n"))))),
     "math_detect": lambda spark, d: _sections(spark, d).where("content IS NOT NULL").select("doc_id", "seq", tx.is_math(F.when(F.col("seq") % 4 == 0, F.concat("content", F.lit(" \\frac{a}{b}"))).otherwise(F.col("content"))).alias("is_math")),
     "match_case": match_case,
+    "match_case_all": match_case_all,
     "html_escape": html_escape,
     "filename_sanitize": filename_sanitize,
+    "filename_sanitize_all": filename_sanitize_all,
     "image_filename": image_filename,
     "short_hash": lambda spark, d: docs(spark, d).select("doc_id", tx.short_hash(F.col("markdown")).alias("hash")),
     "payload_dedupe": payload_dedupe,

@@ -98,3 +98,17 @@ def test_chunks():
 def test_images(spark):
     x = spark.createDataFrame([("d", 1, "word/media/a.emf", b"x" * 600), ("d", 2, "word/media/b.png", b"x" * 600), ("d", 3, "c", b"y" * 10), ("e", 1, "word/media/n", b"x" * 600)], "doc_id string, idx int, source string, data binary")
     assert sorted((r.doc_id, r.filename) for r in images.office_names(images.dedupe_images(x)).collect()) == [("d", "image_001.png"), ("e", "image_001.png")]
+
+
+def test_titles_and_headings_of_all_scripts(spark, tmp_path):
+    import re
+
+    from paperloom.queries import document
+
+    titles = ["Prüfbericht: Übersicht", "Relevé d'état -- été", "Plain title", "//", "测试 报告"]
+    spark.createDataFrame([(str(i), (t,)) for i, t in enumerate(titles)], "doc_id string, metadata struct<title:string>").write.parquet(f"{tmp_path}/conversion_results.parquet")
+    heads = ["Prüfbericht der Pumpe", "ÜBERSICHT", "état", "Plain", "12 figures"]
+    spark.createDataFrame([("d", i, "heading", t) for i, t in enumerate(heads)], "doc_id string, seq int, type string, content string").write.parquet(f"{tmp_path}/sections.parquet")
+    want = {t: re.sub(r"[-\s]+", "_", re.sub(r"[^\w\s-]", "_", t)).strip("_")[:50] or "untitled" for t in titles}
+    assert {r.title: r.file_name for r in document.filename_sanitize_all(spark, str(tmp_path)).collect()} == want
+    assert {r.sample: r.cased for r in document.match_case_all(spark, str(tmp_path)).collect()} == {"Prüfbericht": "Replacement", "ÜBERSICHT": "REPLACEMENT", "état": "replacement", "Plain": "Replacement"}
