@@ -75,12 +75,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"))
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the cut documents are shown by what: a prefix join on texts, lines, sentences or words, or the end alone."""
+    return truncation.evidence(table(spark, d, "documents")).groupBy("evidence").agg(F.count("*").alias("documents"))
+
+
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
 _WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _GRAMS = """SELECT {k}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT {k}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {t})"""
 _LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items) WHERE len(w) > 0), ig AS ({_GRAMS.format(k='item_id', t='items')}),

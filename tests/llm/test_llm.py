@@ -293,6 +293,20 @@ def test_longer_copies_show_cuts(spark):
     assert truncation.truncated(d.limit(0)).count() == 0
 
 
+def test_evidence_is_named(spark):
+    whole = "- the fitter closes the casing of the pump and then the valve of it"
+    sentences = "The winding is greased by the fitter.\nThe winding is closed.\nA long line of the list without any stop that goes on and on " + "and on " * 40
+    texts = [
+        whole, whole[:-10], sentences + "\n- the winding is gre", sentences + "\nThe winding is greased by the fitter. The winding is", sentences + "\n\nA long line of the list without any stop",
+        sentences + "\n\nThe winding is cl", sentences + "\n\n| a | b |\n| - | - |\n| 1 |", sentences,
+    ]
+    docs = spark.createDataFrame([(i, "s", t, "clash") for i, t in enumerate(texts)] + [(1, "s", texts[1], "again")], "doc_id bigint, source string, text string, evidence string")
+    got = {r.doc_id: r.evidence for r in truncation.evidence(docs).collect()}
+    assert got[1] == "copy" and got[2] == "word" and got[3] == "lead" and got[4] == "line" and got[5] in ("lead", "word") and got[6] == "rule"
+    assert len(truncation.prefix_hashes("abcde")) == 4 and truncation.prefix_hashes("abcd")[:3] == truncation.prefix_hashes("abcde")[:3]
+    assert truncation.evidence(docs.limit(0)).count() == 0
+
+
 def test_copies_cut_between_words_or_early_show(spark):
     long = "- the fitter greases the pump\n- the fitter closes the casing of the pump and then the valve of it"
     texts = [long, long[: long.index(" and then")], "## Stationary condenser list", "## Stationary condenser list of works [...]", "## Works\n\nText.", "## Works", "## Valve.", "## Valve. More"]
