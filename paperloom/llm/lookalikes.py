@@ -9,17 +9,20 @@ equivalent, and each class takes one of its members for all.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.session import materialise, small_rows
+from paperloom.session import materialise
 
 # Characters of other scripts that look like a Latin one, and the one they look like.
 _ALIKE = {
     "Latin": ("ɡɑ", "ga"),
-    "Cyrillic small": ("асеорухіјѕһԁԛԝѵёї", "aceopyxijshdqwvëï"),
-    "Cyrillic capital": ("АВЕКМНОРСТХУІЈЅЁЇԚԜ", "ABEKMHOPCTXYIJSËÏQW"),
+    "Cyrillic small": ("асеорухіјѕһԁԛԝѵёїү", "aceopyxijshdqwvëïy"),
+    "Cyrillic capital": ("АВЕКМНОРСТХУІЈЅЁЇԚԜԌѴҮ", "ABEKMHOPCTXYIJSËÏQWGVY"),
     "Greek small": ("οϲϳνμ", "ocjvµ"),
-    "Greek capital": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),
+    "Greek capital": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),
+    "Armenian": ("օսՕՏԼ", "ouOSL"),
     "hyphens": ("‐‑﹣", "---"),
 }
 # Blanks of any width, and characters without any width.
@@ -27,31 +30,71 @@ _BLANKS = "".join(map(chr, [0x9, 0xA, 0xB, 0xC, 0xD, 0x85, 0xA0, 0x1680, *range(
 _UNSEEN = "".join(map(chr, [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x180F), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]))
 # Signs that are several letters.
 _JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "Ⅱ": "II", "Ⅲ": "III", "Ⅳ": "IV", "Ⅵ": "VI", "Ⅶ": "VII", "Ⅷ": "VIII", "Ⅸ": "IX", "Ⅺ": "XI", "Ⅻ": "XII"}
-_SINGLE = ("ⅠⅤⅩⅬⅭⅮⅯ", "IVXLCDM")
-_WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))))
+_SINGLE = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm")
+
+
+def _drawn_otherwise() -> dict[str, str]:
+    """Characters that Unicode has a second time in another width or as mathematical letters, and the plain ones."""
+    alike = dict(zip(*("".join(x) for x in zip(*_ALIKE.values()))))
+    out = {}
+    for i in range(0x80, 0x110000):
+        kind, _, code = unicodedata.decomposition(chr(i)).partition(" ")
+        if kind in ("<wide>", "<narrow>", "<font>") and " " not in code and chr(i) not in _BLANKS + _UNSEEN:
+            plain = chr(int(code, 16))
+            out[chr(i)] = alike.get(plain, plain)
+    return out
+
+
+def _bases() -> dict[str, str]:
+    """Letters with marks, and the letter that is left without them, of all scripts; of a Hangul syllable, its first."""
+    out = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xAC00, 0xD7A4)}
+    for i in range(0x80, 0x110000):
+        parts = unicodedata.normalize("NFD", chr(i))
+        letters = "".join(c for c in parts if unicodedata.category(c)[0] != "M")
+        if parts and parts != chr(i) and len(letters) == 1 and letters.isalnum():
+            out[chr(i)] = letters
+    return out
+
 
-FROM = "".join(a for a, _ in _ALIKE.values()) + _SINGLE[0] + _WIDE[0] + _BLANKS
-TO = "".join(b for _, b in _ALIKE.values()) + _SINGLE[1] + _WIDE[1] + " " * len(_BLANKS)
+def _apart() -> dict[str, str]:
+    """Letters with marks whose letter is a look-alike, taken apart, so that both ways to write them are mapped alike."""
+    alike = dict(zip(*("".join(x) for x in zip(*_ALIKE.values()))))
+    return {c: unicodedata.normalize("NFD", c).translate(str.maketrans(alike)) for c, base in _bases().items() if base in alike and c not in alike}
+
+
+_OTHERWISE, _BASES, _APART = _drawn_otherwise(), _bases(), _apart()
+FROM = "".join(a for a, _ in _ALIKE.values()) + _SINGLE[0] + "".join(_OTHERWISE) + _BLANKS
+TO = "".join(b for _, b in _ALIKE.values()) + _SINGLE[1] + "".join(_OTHERWISE.values()) + " " * len(_BLANKS)
 COLLATION = "UNICODE"
-MAX_PREFERRED = 100_000
+
+
+#: The blocks that hold all signs of ``_APART`` and ``_JOINED``.
+_SPELT = r"[\x{370}-\x{52F}\x{1F00}-\x{1FFF}\x{2160}-\x{216B}\x{FB00}-\x{FB06}]"
 
 
 def mapped(text: Column) -> Column:
     """The text with look-alikes replaced, blanks made plain, and invisible characters left out."""
-    out = F.translate(text, FROM + _UNSEEN, TO)
-    several = out
-    for sign, letters in _JOINED.items():
-        several = F.replace(several, F.lit(sign), F.lit(letters))
-    out = F.when(out.rlike("[" + "".join(_JOINED) + "]"), several).otherwise(out)
-    return F.when(text.rlike(r"[^\x20-\x7E]"), F.trim(F.regexp_replace(out, " {2,}", " "))).otherwise(F.trim(F.regexp_replace(text, " {2,}", " ")))
+    several = F.create_map(*[F.lit(x) for pair in {**_APART, **_JOINED}.items() for x in pair])
+    # few texts have signs that stand for several characters; there each character is looked up
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    one = F.when(text.rlike(_SPELT), spelt).otherwise(text)
+    out = F.when(text.rlike(r"[^\x20-\x7E]"), F.translate(one, FROM + _UNSEEN, TO)).otherwise(text)
+    return F.trim(F.regexp_replace(out, " {2,}", " "))
 
 
-PY_MAP = str.maketrans({**{a: b for a, b in zip(FROM, TO)}, **_JOINED, **{c: None for c in _UNSEEN}})
+PY_MAP = str.maketrans({**{a: b for a, b in zip(FROM, TO)}, **_APART, **_JOINED, **{c: None for c in _UNSEEN}})
 
 
 def _coarse(form: Column) -> Column:
-    """A number that equal-looking forms share: of the letters no accent goes with, and the digits."""
-    return F.xxhash64(F.regexp_replace(form, "[^bdfmpqvxBDFMPQVX0-9]", ""))
+    """A number that equal-looking forms share: of their letters without marks, digits and plain signs, in order.
+
+    Sequences that are canonically equivalent have the same letters without
+    marks, so the key never parts what the collation calls equal.  Left out are
+    the letters of a Hangul syllable after its first, and the signs that marks
+    go with or that have a second code.
+    """
+    plain = F.when(form.rlike(r"[^\x00-\x7F]"), F.translate(form, "".join(_BASES), "".join(_BASES.values()))).otherwise(form)
+    return F.xxhash64(F.regexp_replace(plain, r"[^\p{Lu}\p{Ll}\p{Lo}\p{Nd}!-:?@\[-_{-~]+|[\x{1160}-\x{11FF}]+", ""))
 
 
 def classes(values: DataFrame, preferred: DataFrame | None = None, all_values: bool = True) -> DataFrame:
@@ -70,12 +113,21 @@ def classes(values: DataFrame, preferred: DataFrame | None = None, all_values: b
     h = F.xxhash64("value")
     several = v.groupBy("k").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("k")
     shared = v.join(several, "k", "left_semi").groupBy("value").agg(F.sum("one").alias("copies"), F.min("wanted").alias("wanted"))
-    shared = shared.withColumn("form", F.collate(mapped(F.col("value")), COLLATION))
+    form = mapped(F.col("value"))
+    shared = materialise(shared.select("value", "copies", "wanted", _coarse(form).alias("k"), form.alias("form")))
     shared.createOrReplaceTempView("paperloom_lookalike_values")
     spark = values.sparkSession
-    best = spark.sql("SELECT form, coalesce(min(wanted), min_by(value, struct(-copies, value))) AS canonical FROM paperloom_lookalike_values GROUP BY form")
-    best.createOrReplaceTempView("paperloom_lookalike_best")
-    out = spark.sql("SELECT DISTINCT v.value, b.canonical FROM paperloom_lookalike_values v JOIN paperloom_lookalike_best b ON v.form = b.form")
+    # each form takes the smallest of the forms the collation calls equal; they are compared, since grouping or
+    # joining by collated columns parts some equal texts (Spark 4.1); a key has few forms, which differ in marks
+    spark.sql(f"""
+        WITH forms AS (SELECT DISTINCT k, form FROM paperloom_lookalike_values)
+        SELECT a.k, a.form, min(b.form) AS class FROM forms a JOIN forms b
+        ON a.k = b.k AND a.form COLLATE {COLLATION} <= b.form COLLATE {COLLATION} AND a.form COLLATE {COLLATION} >= b.form COLLATE {COLLATION} GROUP BY a.k, a.form
+    """).createOrReplaceTempView("paperloom_lookalike_classes")
+    out = spark.sql("""
+        WITH v AS (SELECT v.*, c.class FROM paperloom_lookalike_values v JOIN paperloom_lookalike_classes c ON v.k = c.k AND v.form = c.form),
+        best AS (SELECT k, class, coalesce(min(wanted), min_by(value, struct(-copies, value))) AS canonical FROM v GROUP BY k, class)
+        SELECT v.value, best.canonical FROM v JOIN best ON v.k = best.k AND v.class = best.class""")
     if not all_values:
         return out
     return out.unionByName(v.join(several, "k", "left_anti").select("value", F.col("value").alias("canonical")).distinct())
@@ -86,20 +138,15 @@ def same_as(sections: DataFrame, refs: DataFrame) -> DataFrame:
 
     Sections that share no coarse key with any reference are left out before
     values are grouped; the coarse key of equal-looking texts is the same, so
-    none is lost.
+    none is lost.  References that look alike are each linked with the sections
+    of their class.  Null contents are no case; repeated rows count once.
     """
     refs = refs.where("content IS NOT NULL").select("ref_id", F.col("content").alias("value"))
-    keys = small_rows(refs.select(_coarse(mapped(F.col("value"))).alias("k"), F.length(mapped(F.col("value"))).alias("n")).distinct(), MAX_PREFERRED)
+    keys = refs.select(_coarse(mapped(F.col("value"))).alias("k")).distinct()
     rows = sections.where("content IS NOT NULL").select("doc_id", "seq", F.col("content").alias("value"))
-    if keys is not None:
-        if not keys:
-            rows = rows.limit(0)
-        else:
-            # combining accents and invisible characters make a text longer than its reference, but not many times
-            rows = rows.where(F.length(F.translate("value", _UNSEEN, "")) <= 8 * max(r.n for r in keys) + 8)
-            rows = rows.withColumn("k", _coarse(mapped(F.col("value")))).where(F.col("k").isin([r.k for r in keys]) if len(keys) <= 2000 else F.col("k").isNotNull()).drop("k")
+    rows = rows.withColumn("k", _coarse(mapped(F.col("value")))).join(keys, "k", "left_semi").select("doc_id", "seq", "value")
     # few rows are left here; read once, used for the classes and for the result
     rows = materialise(rows)
-    found = classes(rows.select("value"), refs.select("value"), all_values=False)
-    hit = found.join(refs.withColumnRenamed("value", "canonical"), "canonical").where("value <> canonical")
+    found = materialise(classes(rows.select("value"), refs.select("value"), all_values=False))
+    hit = found.join(refs.join(found, "value").select("ref_id", F.col("value").alias("wanted"), "canonical"), "canonical").where("value <> wanted")
     return rows.join(hit.select("value", "ref_id"), "value").select("ref_id", "doc_id", "seq").distinct()

@@ -93,7 +93,29 @@ _LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT it
  hits AS (SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (n, g))"""
 _STRETCH = r"'[^\s\pZ\x{85}\x1c-\x1f.!?。！？]+'"
 
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _form(x: str) -> str:
+    """SQL for the form that equal-looking texts share."""
+    for letter, parts in lookalikes._APART.items():
+        x = f"replace({x}, {_text(letter)}, {_text(parts)})"
+    out = f"translate({x}, {_text(lookalikes.FROM + lookalikes._UNSEEN)}, {_text(lookalikes.TO)})"
+    for sign, letters in lookalikes._JOINED.items():
+        out = f"replace({out}, {_text(sign)}, {_text(letters)})"
+    return f"nfc_normalize(trim(regexp_replace({out}, ' {{2,}}', ' ', 'g')))"
+
+
 SQL: dict[str, str] = {
+    "p3_found": f"""WITH s AS (SELECT doc_id, seq, content, {_form('content')} AS form FROM sections WHERE content IS NOT NULL), r AS (SELECT ref_id, content, {_form('content')} AS form FROM ref_texts WHERE content IS NOT NULL)
+ SELECT DISTINCT ref_id, doc_id, seq FROM r JOIN s USING (form) WHERE r.content <> s.content""",
+    "p3_canonical": f"""WITH v AS (SELECT content AS value, count(*) AS copies, NULL AS wanted FROM sections WHERE content IS NOT NULL GROUP BY content UNION ALL SELECT DISTINCT content, 0, content FROM ref_texts WHERE content IS NOT NULL),
+ u AS (SELECT value, sum(copies) AS copies, min(wanted) AS wanted, {_form('value')} AS form FROM v GROUP BY value),
+ b AS (SELECT *, coalesce(min(wanted) OVER (PARTITION BY form), first_value(value) OVER (PARTITION BY form ORDER BY copies DESC, value)) AS canonical FROM u)
+ SELECT DISTINCT doc_id, seq, content, canonical FROM sections JOIN b ON b.value = content WHERE content <> canonical""",
     "p2_found": f"""WITH m AS (SELECT DISTINCT doc_id, markdown, list_max(list_transform(regexp_extract_all(markdown, {_STRETCH}), lambda x: length(x))) AS s FROM conversion_results WHERE markdown IS NOT NULL)
  SELECT DISTINCT profile, doc_id, 'oversized' AS kind FROM m, chunk_profiles WHERE length(markdown) > max_chars UNION ALL SELECT DISTINCT profile, doc_id, 'forced' FROM m, chunk_profiles WHERE length(markdown) > max_chars AND s > max_chars""",
     "p5_found": f"""WITH w AS (SELECT doc_id, {_WORDS.format(x='markdown')} AS w FROM (SELECT DISTINCT doc_id, markdown FROM conversion_results WHERE markdown IS NOT NULL)),

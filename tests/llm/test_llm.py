@@ -113,6 +113,39 @@ def test_oversized_brute(spark):
 # 3 look-alikes
 
 
+def _letters_with_marks():
+    return [c for c in map(chr, range(0x80, 0x2FFFF)) if not 0xAC00 <= ord(c) <= 0xD7A3 and unicodedata.normalize("NFD", c) != c and c in lookalikes._BASES]
+
+
+def test_every_canonical_pair_is_one_class(spark):
+    letters = _letters_with_marks()
+    assert len(letters) > 1500 and {"ḍ", "ṁ", "ď", "й", "ガ"} <= set(letters)
+    pairs = [(f"{i}x {c}y", f"{i}x {unicodedata.normalize('NFD', c)}y") for i, c in enumerate(letters)] + [(f"{c}y", f"{unicodedata.normalize('NFD', c)}y") for c in "가각힣"]
+    v = spark.createDataFrame([(x,) for p in pairs for x in p], "value string")
+    form = {r.value: r.canonical for r in lookalikes.classes(v).collect()}
+    assert [p for p in pairs if form[p[0]] != form[p[1]]] == []
+    assert len(set(form.values())) == len(pairs)
+
+
+def test_signs_that_are_spelt_out_lie_in_the_blocks_that_are_looked_at():
+    assert all(re.match("[Ͱ-ԯἀ-῿Ⅰ-Ⅻﬀ-ﬆ]", c) for c in {**lookalikes._APART, **lookalikes._JOINED})
+
+
+def test_widths_and_mathematical_letters(spark):
+    same = [("カタカナ", "ｶﾀｶﾅ"), ("ガード", "ｶﾞｰﾄﾞ"), ("Rotor A1", "𝐑𝐨𝐭𝐨𝐫 𝐀𝟏"), ("ℋ and ℝ", "H and R"), ("Ｗｉｄｅ　ｂｌａｎｋ", "Wide blank"), ("x" + " " * 400 + "y", "x y"), ("ｑ̣" + "̣" * 0, "q̣")]
+    apart = [("m²", "m2"), ("カ", "ガ"), ("①", "1"), ("Ａ", "a"), ("ä", "a")]
+    v = spark.createDataFrame([(x,) for p in same + apart for x in p], "value string")
+    form = {r.value: r.canonical for r in lookalikes.classes(v).collect()}
+    assert [p for p in same if form[p[0]] != form[p[1]]] == [] and [p for p in apart if form[p[0]] == form[p[1]]] == []
+
+
+def test_alike_references_are_all_linked(spark):
+    refs = spark.createDataFrame([(1, "Prüf mal", "x"), (2, "Pru\u0308f mal", "y"), (3, None, None), (4, "", None)], "ref_id bigint, content string, doc_id string")
+    s = spark.createDataFrame([("a", 0, "Prüf mal"), ("a", 1, "Pru\u0308f mal"), ("b", 0, "Prüf\u00a0mal"), ("b", 0, "Prüf\u00a0mal"), ("c", 0, "Pruf mal"), ("d", 0, None), ("e", 0, "\u200b"), ("f", 0, "P\u200b" * 3000)], "doc_id string, seq int, content string")
+    assert rows(lookalikes.same_as(s, refs)) == [(1, "a", 1), (1, "b", 0), (2, "a", 0), (2, "b", 0), (4, "e", 0)]
+    assert lookalikes.same_as(s, refs.limit(0)).count() == 0 and lookalikes.same_as(s.limit(0), refs).count() == 0
+
+
 def test_classes(spark):
     v = spark.createDataFrame([("file",), ("ﬁle",), ("f​ile",), ("ｆｉｌｅ",), ("File",), ("Prüf",), ("Prüf",), ("Pruf",), ("m²",), ("m2",), ("а b",), ("a b",), (None,), ("",), ("",), ("x" * 100_000,)], "value string")
     got = defaultdict(set)
@@ -257,6 +290,25 @@ def test_spans_are_cut_out(spark):
     assert "k1" not in got[5][0] and got[5][0].startswith("İ ")
 
 
+def test_large_item_sets_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    words = list("abcdefg")
+    docs = [(k, rng.choice(["", "", "É. "]) + " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for k in range(60)] + [(60, None), (61, ""), (62, "a " * 20_000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 5, 9])))) for k in range(25)] + [(25, None)]
+    d = spark.createDataFrame([(*x, "clash") for x in docs + docs[:3]], "doc_id bigint, text string, item_id string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    want = rows(leaks.leaks(d, i, 5)), rows(leaks.without_leaks(d, i, 5))
+    assert want[0]
+    for name, bound in (("MAX_ITEMS", 1), ("MAX_CHARS", 1), ("MAX_GRAMS", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(leaks, name, bound)
+            m.setattr(leaks, "HOT", 3)
+            assert leaks._grams(i, 5) is None
+            assert (rows(leaks.leaks(d, i, 5)), rows(leaks.without_leaks(d, i, 5))) == want
+            if name == "MAX_ITEMS":
+                assert leaks.leaks(d.limit(0), i, 5).count() == 0 and leaks.without_leaks(d, i.limit(0), 5).count() == len(docs) + 3
+
+
 @needs_data
 def test_leaks_brute(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
