@@ -241,7 +241,8 @@ def prefix_copies(docs: DataFrame, hashes: DataFrame | None = None) -> DataFrame
         hashes = materialise(_observe(docs)).where("kind = 'b'").select("doc_id", "hashes")
     at = hashes.select("doc_id", F.element_at("hashes", -1).alias("whole"), F.posexplode("hashes").alias("level", "h"), (F.size("hashes") - 2).alias("own")).where("level <= own")
     several = at.groupBy("level", "h").agg(F.min("whole").alias("low"), F.max("whole").alias("high"), F.max(F.col("level") == F.col("own")).alias("ends")).where("low <> high AND ends")
-    some = at.join(several.select("level", "h"), ["level", "h"], "left_semi").select("doc_id").distinct()
+    # written, so that its size is known: few of them are sent to all tasks, and the texts stay where they are
+    some = materialise(at.join(several.select("level", "h"), ["level", "h"], "left_semi").select("doc_id").distinct())
 
     def bared(batches):
         for b in batches:
