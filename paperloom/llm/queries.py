@@ -24,6 +24,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(table(spark, d, "conversion_results"), table(spark, d, "chunk_profiles"))
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, and whether all of them fit."""
+    p = table(spark, d, "chunk_profiles").distinct()
+    x = pieces.split(table(spark, d, "conversion_results"), p).join(p, "profile")
+    own = F.when(F.col("piece") == 0, F.col("piece_text")).otherwise(F.expr("substring(piece_text, overlap_chars + 1)"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("t")))), lambda x: x["t"]), "")
+    fits = F.max(F.length("piece_text")) <= F.first("max_chars")
+    return x.groupBy("profile", "doc_id").agg(F.md5(whole).alias("digest"), fits.alias("fits"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_as(table(spark, d, "sections"), table(spark, d, "ref_texts"))
 
@@ -85,7 +95,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
 _WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _GRAMS = """SELECT {k}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT {k}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {t})"""
 _LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items) WHERE len(w) > 0), ig AS ({_GRAMS.format(k='item_id', t='items')}),
@@ -110,6 +120,7 @@ def _form(x: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "p2_rebuilt": "SELECT DISTINCT profile, doc_id, md5(markdown) AS digest, true AS fits FROM conversion_results, chunk_profiles WHERE length(markdown) > max_chars",
     "p3_found": f"""WITH s AS (SELECT doc_id, seq, content, {_form('content')} AS form FROM sections WHERE content IS NOT NULL), r AS (SELECT ref_id, content, {_form('content')} AS form FROM ref_texts WHERE content IS NOT NULL)
  SELECT DISTINCT ref_id, doc_id, seq FROM r JOIN s USING (form) WHERE r.content <> s.content""",
     "p3_canonical": f"""WITH v AS (SELECT content AS value, count(*) AS copies, NULL AS wanted FROM sections WHERE content IS NOT NULL GROUP BY content UNION ALL SELECT DISTINCT content, 0, content FROM ref_texts WHERE content IS NOT NULL),
