@@ -8,19 +8,23 @@ words have no set and are in no pair.
 1. A task per slice of texts makes K MinHash samples, their band keys and an
    odd sketch: the samples fold into a bitmap of parities.
 2. Texts with equal sets are one class; only its representative goes on.
-3. Representatives that share a band are candidates.
+3. Representatives that share a band are candidates.  A band that very many
+   share says little and would give pairs without number: its members are
+   compared by their rarest sequences instead, which misses no pair.
 4. The XOR of two odd sketches has a population count that estimates the
    similarity; candidates clearly below the threshold are dropped.
 5. The rest are compared exactly on the sets of the texts themselves.
 
-With R rows in each of the K / R bands a pair of similarity s is a candidate
-with probability 1 - (1 - s^R)^(K/R): for the defaults (K=320, R=4) a pair at
-0.6 is missed with probability 1.5e-5, one at 0.8 with 4e-19.  The bound of
-step 4 is six standard deviations of the estimate below the threshold.
+With R rows in each of B bands a pair of similarity s is a candidate with
+probability 1 - (1 - s^R)^B.  ``scheme`` takes, for a threshold, the largest R
+that misses a pair at it with a probability of at most 2e-5 with no more than
+320 samples: 78 bands of 4 for 0.6, 36 bands of 6 for 0.8.  The bound of step 4
+is six standard deviations of the estimate below the threshold.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,8 +37,13 @@ from paperloom.session import materialise
 import pyarrow as pa
 
 WORD = re.compile("[a-z0-9]+")
-K, R = 320, 4
+#: Samples of one text at most, and the probability at most with which a pair at the threshold is missed.
+K, MISSED = 320, 2e-5
 SKETCH_BITS = 1024
+#: Members of a band up to which their pairs are formed.
+HOT = 1000
+#: Counters of sequences, by hash: a constant size, whatever the number of texts.
+COUNTERS = 1 << 20
 _U32 = np.uint32
 
 
@@ -52,6 +61,17 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def scheme(threshold: float, most: int = K, missed: float = MISSED) -> tuple[int, int]:
+    """(samples, rows of a band) for a threshold: the sharpest bands that ``most`` samples allow."""
+    best = (most, 1)
+    for r in range(1, most + 1):
+        bands = math.ceil(math.log(missed) / math.log1p(-(threshold**r))) if threshold < 1 else 1
+        if bands * r > most:
+            break
+        best = (bands * r, r)
+    return best
+
+
 def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     return (rng.integers(0, 2**32, k, dtype=np.uint64).astype(_U32) | _U32(1)), rng.integers(0, 2**32, k, dtype=np.uint64).astype(_U32)
@@ -95,7 +115,7 @@ def slack(threshold: float, k: int = K, bits: int = SKETCH_BITS) -> float:
     return 6 * float(np.sqrt(threshold * (1 - threshold) / k + fold**2))
 
 
-def signatures(texts: DataFrame, width: int, k: int = K, r: int = R) -> DataFrame:
+def signatures(texts: DataFrame, width: int, k: int, r: int) -> DataFrame:
     """(id, set_hash, n, bands, sketch) of each distinct (id, set) of ``texts`` (id, text)."""
 
     def run(batches):
@@ -107,37 +127,93 @@ def signatures(texts: DataFrame, width: int, k: int = K, r: int = R) -> DataFram
                 if len(sh):
                     m = minhash(sh, a, b)
                     g = m.reshape(-1, r).astype(np.uint64)
-                    key = np.zeros(len(g), np.uint64)
+                    key = _mix(np.arange(len(g), dtype=np.uint64))  # keys of different bands differ
                     for c in range(r):
                         key = _mix(key ^ (g[:, c] + np.uint64(c + 1)))
-                    out.append((i, xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, len(sh), (key >> np.uint64(32)).astype(np.int64) - 2**31, odd_sketch(m)))
-            yield batch(out, ["id", "set_hash", "n", "bands", "sketch"], [S, L, I, pa.list_(I), BYTES])
+                    out.append((i, xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, len(sh), key.view(np.int64), odd_sketch(m)))
+            yield batch(out, ["id", "set_hash", "n", "bands", "sketch"], [S, L, I, pa.list_(L), BYTES])
 
     made = texts.where("text IS NOT NULL AND text <> ''").select(F.col("id").cast("string").alias("id"), "text")
-    return made.mapInArrow(run, "id string, set_hash bigint, n int, bands array<int>, sketch binary")
+    return made.mapInArrow(run, "id string, set_hash bigint, n int, bands array<bigint>, sketch binary")
+
+
+def _pairs(rows_: DataFrame, on: str) -> DataFrame:
+    """Distinct (a, b), a < b, of the ids that share a value of ``on``."""
+    left, right = rows_.withColumnRenamed("id", "a"), rows_.withColumnRenamed("id", "b")
+    return left.join(right, on).where("a < b").select("a", "b").distinct()
+
+
+def _candidates(texts: DataFrame, sig: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Distinct (a, b), a < b, of representatives that share a band, or rare sequences where the band has very many."""
+    keyed = reps.select("id", F.explode("bands").alias("key"))
+    # counted with map-side sums, so that no task meets a whole hot band
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    if hot.isEmpty():
+        return _pairs(keyed, "key")
+    many = materialise(keyed.join(hot, "key", "left_semi").select(F.col("id").alias("set_hash")).distinct())
+    return _pairs(keyed.join(hot, "key", "left_anti"), "key").unionByName(_rare_pairs(texts, sig, many, width, threshold)).distinct()
+
+
+def _sets(texts: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(set_hash, sh): the sets of ``wanted`` (set_hash), each read again from one of its texts."""
+    one = sig.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.min("id").alias("id"))
 
+    def run(batches):
+        for b in batches:
+            out = []
+            for _, text in rows(b, "id", "text"):
+                sh = shingles(text, width)
+                out.append((xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, sh.view(np.int64)))
+            yield batch(out, ["set_hash", "sh"], [L, pa.list_(L)])
+
+    held = texts.where("text IS NOT NULL AND text <> ''").select(F.col("id").cast("string").alias("id"), "text").join(one.select("id").distinct(), "id", "left_semi")
+    return held.mapInArrow(run, "set_hash bigint, sh array<bigint>").join(wanted, "set_hash", "left_semi").dropDuplicates(["set_hash"])
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives that share a band key."""
-    keyed = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
-    return left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
 
+def _rare_pairs(texts: DataFrame, sig: DataFrame, wanted: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Distinct (a, b), a < b, of the sets of ``wanted`` that share one of their rarest sequences.
 
-def links(texts: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K, r: int = R) -> tuple[DataFrame, DataFrame]:
+    Of two sets of similarity t or more, each has a sequence of the other among
+    its n - ceil(t n) + 1 first ones in any order that is the same for all
+    sets.  The order is by how often a sequence occurs, counted by hash.
+    """
+    sets = materialise(_sets(texts, sig, wanted, width))
+    spot = F.pmod("s", F.lit(COUNTERS)).cast("int")
+    counted = sets.select(F.explode("sh").alias("s")).groupBy(spot.alias("at")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["at"].to_numpy()] = counted["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        often = shared.value
+        for b in batches:
+            out = []
+            for i, sh in zip(b.column("set_hash").to_pylist(), b.column("sh")):
+                s = np.asarray(sh.values)
+                first = np.lexsort((s, often[s % COUNTERS]))[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+                out += [(i, x, len(s)) for x in s[first].tolist()]
+            yield batch(out, ["id", "s", "n"], [L, L, I])
+
+    first = sets.mapInArrow(run, "id bigint, s bigint, n int")
+    left, right = first.select(F.col("id").alias("a"), "s", F.col("n").alias("na")), first.select(F.col("id").alias("b"), "s", F.col("n").alias("nb"))
+    return left.join(right, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+
+
+def links(texts: DataFrame, width: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (id, rep) gives the representative of each text's set;
     pairs (a, b, similarity) are all representatives, a < b, of similarity at least ``threshold``.
 
     ``texts`` has ``id`` and ``text``; the same id with the same text counts
     once.  Texts with equal sets are linked by having one representative.
     """
+    k, r = scheme(threshold)
     sig = materialise(signatures(texts, width, k, r))
     rep = sig.groupBy("set_hash").agg(F.min("id").alias("rep"))
     members = sig.select("id", "set_hash").distinct().join(rep, "set_hash").select("id", "set_hash", "rep")
     # a representative is named by its set, as one id may come with several texts
     reps = sig.groupBy("set_hash").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    reps = reps.select(F.col("set_hash").alias("id"), "bands", "sketch", "n")
-    cand = _candidates(reps)
+    reps = materialise(reps.select(F.col("set_hash").alias("id"), "bands", "sketch", "n"))
+    cand = _candidates(texts, sig, reps, width, threshold)
     floor = threshold - slack(threshold, k)
 
     def sketched(batches):
@@ -155,18 +231,7 @@ def links(texts: DataFrame, width: int = 5, threshold: float = 0.8, k: int = K,
 def _verified(texts: DataFrame, sig: DataFrame, near: DataFrame, width: int, threshold: float) -> DataFrame:
     """Exact similarity of the pairs; only the texts in some pair are read into sets again."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    one = sig.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.min("id").alias("id"))
-
-    def sets(batches):
-        for b in batches:
-            out = []
-            for i, text in rows(b, "id", "text"):
-                sh = shingles(text, width)
-                out.append((xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, sh.view(np.int64)))
-            yield batch(out, ["set_hash", "sh"], [L, pa.list_(L)])
-
-    held = texts.where("text IS NOT NULL AND text <> ''").select(F.col("id").cast("string").alias("id"), "text").join(one.select("id").distinct(), "id", "left_semi")
-    held = held.mapInArrow(sets, "set_hash bigint, sh array<bigint>").join(wanted, "set_hash", "left_semi").dropDuplicates(["set_hash"])
+    held = _sets(texts, sig, wanted, width)
     x, y = held.select(F.col("set_hash").alias("a"), F.col("sh").alias("x")), held.select(F.col("set_hash").alias("b"), F.col("sh").alias("y"))
     both = near.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("m"), F.size("y").alias("n"))
     exact = both.select("a", "b", (F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("similarity"))
@@ -185,7 +250,7 @@ def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return equal.unionByName(other).distinct().select(F.col("p").alias("id_a"), F.col("q").alias("id_b"))
 
 
-def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, class_id, links): the connected group of each id and the links of its set to other sets.
 
     Groups grow by taking the smallest label around, with a shortcut to the
@@ -196,7 +261,7 @@ def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -> DataF
     edges = materialise(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     deg = edges.groupBy("a").agg(F.count("*").alias("links"))
     label = edges.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v"))
-    for _ in range(most_rounds):
+    while True:  # labels only become smaller, so this ends
         low = edges.join(label.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         step = label.join(low, "v").select("v", "l", F.least("l", "m").alias("m"))
         jump = step.join(label.select(F.col("v").alias("m"), F.col("l").alias("mm")), "m", "left")
@@ -204,8 +269,6 @@ def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -> DataF
         label = step.select("v", F.col("m").alias("l"))
         if step.where("m < l").isEmpty():
             break
-    else:
-        raise RuntimeError("the groups did not settle")
     of = nodes.join(label.withColumnRenamed("v", "set_hash"), "set_hash", "left").select("set_hash", F.coalesce("l", "set_hash").alias("l"))
     of = members.select("id", "set_hash").join(of, "set_hash").join(deg.withColumnRenamed("a", "set_hash"), "set_hash", "left")
     names = of.groupBy("l").agg(F.min("id").alias("class_id"))
