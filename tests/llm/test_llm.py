@@ -55,10 +55,23 @@ def test_noisy_lines(spark):
 
 def test_repaired_text(spark):
     s, r = scanned(spark)
-    text = {x.seq: x.repaired for x in scans.repaired(s, r).collect()}
+    text = {x.seq: x.repaired for x in scans.repaired(s, r).collect() if x.doc_id == "d"}
     assert text[1] == "The rotor of the long pump is greased and the casing is closed by the rotor of the read-out valve in over- and under-voltage of the pump. The rotor is closed and greased by the fitter with care."
 
 
+def test_lines_of_any_width_and_long_words_count(spark):
+    long = "rotorgehäuse" * 6
+    wide = "The rotor of the long pump is greased and the casing is closed by the fitter of the works at once and then again, " * 3
+    narrow = "the pump is\ngreased at\nonce by a"
+    rows_ = [("n", 1, "paragraph", narrow), ("w", 1, "paragraph", f"{wide}\n{wide}\n{long.replace('rotor', 'r0tor', 1)} is"), *[("k", i, "paragraph", f"{long} {long}") for i in range(8)]]
+    s = spark.createDataFrame(rows_, "doc_id string, seq int, type string, content string")
+    r = spark.createDataFrame([], "doc_id string, markdown string")
+    assert rows(scans.findings(s, r).select("doc_id", "seq", "line_no", "kind")) == [("w", 1, 2, "misread")]
+    assert {x.doc_id for x in scans.repaired(s, r).collect()} == {"n", "w"}
+    assert scans.is_wrapped(scans.prose_lines(narrow, "paragraph")) and not scans.is_wrapped(scans.prose_lines("- one two three\n- four five six", "paragraph"))
+    assert scans._near("a" * 500 + "bc", "a" * 500 + "cb", 2) and not scans._near("abcdef", "badcfe", 2) and scans._near("", "ab", 2)
+
+
 def test_wrapped_text_without_noise_is_joined(spark):
     s, r = scanned(spark)
     more = [("d", 7, "paragraph", "At the test bay the fitter writes\na report on the annular winding."), ("d", 8, "code", "  x = 1\n\n\n\n  y = 2"), ("d", 9, "table", "| a | b |\n| - | - |\n| c | d |"), ("no scan", 1, "paragraph", "one line")]
@@ -100,6 +113,24 @@ def test_cut_prefers_headings(spark):
     assert all(len(r.piece_text) <= 20 for r in pieces.split(d, p).collect())
 
 
+def test_forced_cuts_are_those_of_long_stretches():
+    rng = random.Random(3)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "bc", " ", ".", "x" * rng.randrange(1, 25), "\n", "   ", "字"]) for _ in range(rng.randrange(0, 40)))
+        limit = rng.randrange(2, 20)
+        at, breaks = pieces.boundaries(t)
+        got = pieces.cuts(len(t), at, limit, rng.randrange(0, limit))
+        assert pieces.forced(got, breaks, len(t), limit) == (len(t) > limit and max(map(len, re.findall(r"[^\s.!?。！？]+", t)), default=0) > limit)
+
+
+def test_profiles_in_blocks_give_the_same(spark, monkeypatch):
+    d = spark.createDataFrame([("c", "y" * 50), ("e", "w. " * 20), ("e", "w. " * 20), ("f", None)], "doc_id string, markdown string")
+    p = spark.createDataFrame([(f"p{i}", 10 + i, i % 5) for i in range(7)], "profile string, max_chars int, overlap_chars int")
+    want = rows(pieces.oversized(d, p)), rows(pieces.split(d, p))
+    monkeypatch.setattr(pieces, "MAX_PROFILES", 2)
+    assert (rows(pieces.oversized(d, p)), rows(pieces.split(d, p))) == want and want[0]
+
+
 @needs_data
 def test_oversized_brute(spark):
     d, prof = table(spark, DATA, "conversion_results"), [tuple(r) for r in table(spark, DATA, "chunk_profiles").collect()]
@@ -212,6 +243,38 @@ def test_long_chains_are_one_group(spark):
     assert {r.class_id for r in near.groups(members, pairs).collect()} == {"n000"}
 
 
+def test_hot_bands_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        w = list(template)
+        for _ in range(rng.choice([1, 2, 6, 12])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append((f"n{k:02d}", " ".join(w)))
+    sets = {i: {tuple(x.split()[j : j + 3]) for j in range(len(x.split()) - 2)} for i, x in texts}
+    want = [(a, b) for a in sorted(sets) for b in sorted(sets) if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])]
+    d = spark.createDataFrame([(*x, 1) for x in texts], "id string, text string, n int")
+    for hot in (1000, 3):
+        monkeypatch.setattr(near, "HOT", hot)
+        m, p = near.links(d, 3, 0.6)
+        assert rows(near.id_pairs(m, p)) == want and 20 < len(want) < 60 * 59 / 2
+
+
+def test_many_equal_texts_give_no_pairs(spark):
+    d = spark.range(10_000).select(F.col("id").cast("string").alias("id"), F.lit("one text that is in the table very many times").alias("text"))
+    m, p = near.links(d)
+    assert p.count() == 0
+    g = near.groups(m, p)
+    assert g.count() == 10_000 and g.select("class_id", "links").distinct().collect() == [("0", 0)]
+
+
+def test_scheme_keeps_to_its_bounds():
+    for t in (0.5, 0.6, 0.7, 0.8, 0.9):
+        k, r = near.scheme(t)
+        assert k <= near.K and k % r == 0 and (1 - t**r) ** (k // r) <= near.MISSED
+
+
 # 6 packing
 
 
