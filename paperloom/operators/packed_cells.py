@@ -16,7 +16,7 @@ import re
 from collections.abc import Sequence
 
 import pyarrow as pa  # noqa: F401
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.arrow import batch
 from paperloom.session import materialise
@@ -28,11 +28,12 @@ WIDE_GAP = "  "
 _QUOTED = '"(?:[^"]|"")*"|“[^”]*”'
 _BLANKS = " \t\n\r\f\v\xa0\u2002\u2003\u2009\u202f\u3000\ufeff"
 
-#: A delimiter is used for a source if at least this share of the pieces it makes are regular,
-#: that is: they also stand alone, as the whole of some cell or as a piece made by another delimiter.
-MIN_REGULAR = 0.5
-
-
+#: A delimiter is used for a source if its score is at least this share of the best one's.
+MIN_SCORE = 0.5
+#: What a piece counts that is found nowhere else, times the share of its type in the source.
+BY_TYPE = 0.25
+#: So many cells of all list sources together are added to each source, which decides where it has few itself.
+POOLED = 5
 
 
 def _pattern(used: tuple[str, ...]) -> re.Pattern:
@@ -116,46 +117,62 @@ def run_together(headers: DataFrame, kinds: DataFrame) -> DataFrame:
     return hit.where((F.col("known") == F.col("n")) & (F.col("n") >= 2)).groupBy("header").agg(F.max_by("delimiter", F.struct("n", "delimiter")).alias("delimiter"), F.max("n").alias("width"))
 
 
+def piece_type(piece: Column) -> Column:
+    """The shape of a piece: digits as 9, words as a, signs as they are."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(piece, r"\p{Nd}+", "9"), r"\p{L}+", "a"), r"\s+", " ")
+
+
 def infer_delimiters(listed: DataFrame) -> DataFrame:
-    """Per source the delimiters that split its cells, with their scores.
+    """Per source the candidates that occur in its cells, with their scores and whether they are used.
 
     ``listed`` has ``source_key`` and ``cell``.  A candidate is scored on
 
     * ``consistency``: the share of the cells it occurs in that it cuts into as many
       non-empty pieces as there are delimiters plus one, or one fewer (a trailing one), and
-    * ``regularity``: the share of its pieces that are values of the source in their own
-      right, that is whole cells without any candidate, or quoted.
-
-    All counts are aggregated per (source, piece) before anything is shuffled again.
+    * ``regularity``: how far the pieces of these cells are values of the source.  A piece
+      counts 1 if the source also has it in a cell without this candidate, as the whole
+      cell or cut out by others; else it counts by the share of its type in the source.
+
+    ``score`` is their product, drawn towards the candidate's score over all
+    sources where there are few cells.  A candidate is ``used`` if it scores at
+    least MIN_SCORE of the source's best, so that a source with candidates
+    always has one.  All counts are aggregated per (source, piece) before
+    anything is shuffled again.
     """
     def tried(batches):
         for b in batches:
             rows = []
             for key, cell, n in zip(*(b.column(c).to_pylist() for c in ("source_key", "cell", "copies"))):
-                fine = pieces(cell)
-                if len(fine) == 1:
-                    rows.append((key, None, fine[0], 0, True))
-                for d in DELIMITERS:
-                    cut = pieces(cell, [d]) if d in cell else ()
-                    if len(cut) > 1:
-                        # one row without a piece stands for the cell
-                        rows.append((key, d, None, n, sum(map(bool, cut)) >= len(cut) - 1))
-                        rows += [(key, d, x, n, False) for x in fine if x]
-            yield batch(rows, ["source_key", "delimiter", "piece", "copies", "good"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()])
+                cuts = [pieces(cell, [d]) if d in cell else () for d in DELIMITERS]
+                mask = sum(1 << i for i, cut in enumerate(cuts) if len(cut) > 1)
+                rows += [(key, mask, x, n, 0) for x in pieces(cell) if x]
+                # a row without a piece stands for the cell
+                rows += [(key, 1 << i, None, n, n * (sum(map(bool, cut)) >= len(cut) - 1)) for i, cut in enumerate(cuts) if len(cut) > 1]
+            yield batch(rows, ["source_key", "mask", "piece", "copies", "good"], [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()])
 
     d = listed.groupBy("source_key", "cell").agg(F.count("*").alias("copies"))
-    cut = d.mapInArrow(tried, "source_key string, delimiter string, piece string, copies bigint, good boolean")
+    cut = d.mapInArrow(tried, "source_key string, mask int, piece string, copies bigint, good bigint")
     # all about one piece meets here, already summed over the cells of each task
-    by = cut.groupBy("source_key", "delimiter", "piece").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.sum(F.col("good").cast("int")).alias("good"))
-    by = materialise(by)
-    counts = by.where("delimiter IS NOT NULL AND piece IS NULL").select("source_key", "delimiter", F.col("copies").alias("cells"), (F.col("good") / F.col("n")).alias("consistency"))
-    whole = by.where("delimiter IS NULL").select("source_key", "piece", F.lit(True).alias("whole"))
-    piece = by.where("delimiter IS NOT NULL AND piece IS NOT NULL").select("source_key", "delimiter", "piece", "copies")
-    regular = piece.join(whole, ["source_key", "piece"], "left").groupBy("source_key", "delimiter").agg((F.sum(F.when(F.col("whole"), F.col("copies")).otherwise(0)) / F.sum("copies")).alias("regularity"))
-    return counts.join(regular, ["source_key", "delimiter"], "left").select("source_key", "delimiter", "cells", "consistency", F.coalesce("regularity", F.lit(0.0)).alias("regularity"))
-
-
-def split_packed(tables: DataFrame, kinds: DataFrame, min_regular: float = MIN_REGULAR) -> DataFrame:
+    by = materialise(cut.groupBy("source_key", "mask", "piece").agg(F.sum("copies").alias("copies"), F.sum("good").alias("good")))
+    names = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
+    cells = by.where("piece IS NULL").select("source_key", F.col("mask").alias("bit"), F.col("copies").alias("cells"), (F.col("good") / F.col("copies")).alias("consistency"))
+    value = by.where("piece IS NOT NULL").withColumn("type", piece_type(F.col("piece")))
+    # the candidates that every cell with this piece has
+    always = value.groupBy("source_key", "piece").agg(F.bit_and("mask").alias("always"))
+    types = value.groupBy("source_key", "type").agg(F.sum("copies").alias("n"))
+    types = types.join(value.groupBy("source_key").agg(F.sum("copies").alias("all")), "source_key").select("source_key", "type", (F.col("n") / F.col("all")).alias("share"))
+    made = value.join(always, ["source_key", "piece"]).join(types, ["source_key", "type"]).select("*", F.inline(names)).where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
+    worth = F.when(F.col("always").bitwiseAND(F.col("bit")) == 0, 1.0).otherwise(BY_TYPE * F.col("share"))
+    regular = made.groupBy("source_key", "bit", "delimiter").agg((F.sum(worth * F.col("copies")) / F.sum("copies")).alias("regularity"))
+    scored = cells.join(regular, ["source_key", "bit"]).withColumn("own", F.col("consistency") * F.col("regularity"))
+    pooled = scored.groupBy("bit").agg((F.sum(F.col("own") * F.col("cells")) / F.sum("cells")).alias("pooled"))
+    scored = scored.join(F.broadcast(pooled), "bit")  # one row for each candidate
+    scored = scored.withColumn("score", (F.col("own") * F.col("cells") + POOLED * F.col("pooled")) / (F.col("cells") + POOLED))
+    best = F.max("score").over(Window.partitionBy("source_key"))  # one row for each candidate of a source
+    return scored.select("source_key", "delimiter", "cells", "consistency", "regularity", "score", (F.col("score") >= MIN_SCORE * best).alias("used"))
+
+
+def split_packed(tables: DataFrame, kinds: DataFrame) -> DataFrame:
     """One row per non-empty value of each cell that holds two or more.
 
     ``kinds`` says of a header whether its column holds lists.  A column holds
@@ -169,7 +186,7 @@ def split_packed(tables: DataFrame, kinds: DataFrame, min_regular: float = MIN_R
     packed = every.withColumn("source_key", _key(F.col("header")))
     # both small sides are left to the planner: it broadcasts them only under its size threshold
     listed = packed.where("row_no >= 0 AND cell IS NOT NULL").join(listed_keys, "source_key")
-    kept = infer_delimiters(listed).where(F.col("regularity") >= min_regular).groupBy("source_key").agg(F.sort_array(F.collect_set("delimiter")).alias("used"))
+    kept = infer_delimiters(listed).where("used").groupBy("source_key").agg(F.sort_array(F.collect_set("delimiter")).alias("used"))
     runs = run_together(every.where("row_no = -1 AND header IS NOT NULL").select("header").distinct(), kinds)
     one = listed.join(kept, "source_key").select("doc_id", "page", "table_no", "row_no", "col_no", "cell", "used")
     two = every.where("cell IS NOT NULL").join(runs, "header").select("doc_id", "page", "table_no", "row_no", "col_no", "cell", F.array("delimiter").alias("used"))
@@ -185,5 +202,3 @@ def split_packed(tables: DataFrame, kinds: DataFrame, min_regular: float = MIN_R
             yield batch(rows, [*keys, "pos", "value"], [pa.string(), *[pa.int32()] * 5, pa.string()])
 
     return both.mapInArrow(split, "doc_id string, page int, table_no int, row_no int, col_no int, pos int, value string").distinct()
-
-

@@ -17,7 +17,8 @@ def p4_delimiters(spark: SparkSession, d: str) -> DataFrame:
     kinds = table(spark, d, "column_kinds").where("holds = 'list'").select(F.lower(pc.trim_blanks(F.col("header"))).alias("source_key")).distinct()
     every = pc.cells(table(spark, d, "extracted_tables")).withColumn("source_key", F.lower(pc.trim_blanks(F.col("header"))))
     listed = every.where("row_no >= 0 AND cell IS NOT NULL").join(kinds, "source_key")
-    return pc.infer_delimiters(listed).select("source_key", "delimiter", "cells", F.round("consistency", 6).alias("consistency"), F.round("regularity", 6).alias("regularity"))
+    score = lambda c: F.round(c, 6).alias(c)
+    return pc.infer_delimiters(listed).select("source_key", "delimiter", "cells", score("consistency"), score("regularity"), score("score"), "used")
 
 
 QUERIES = {"p4_found": p4_found, "p4_delimiters": p4_delimiters}

@@ -22,3 +22,27 @@ def test_split(spark):
     assert got == [(1, 0, 0, 0, "a"), (1, 0, 0, 1, "b"), (1, 3, 0, 0, "b"), (1, 3, 0, 2, "a"), (2, -1, 0, 0, "Item"), (2, -1, 0, 1, "Supply AC/DC"), (2, 0, 0, 0, "x"), (2, 0, 0, 1, "1;2"),
         (5, -1, 0, 0, "Item"), (5, -1, 0, 1, "Remarks"), (5, 0, 0, 0, "p"), (5, 0, 0, 1, "q r")]
     assert pc.split_packed(t.limit(0), k).count() == 0
+
+
+def _chosen(spark, cells):
+    d = spark.createDataFrame(cells, "source_key string, cell string")
+    return {(r.source_key, r.delimiter) for r in pc.infer_delimiters(d).where("used").collect()}
+
+
+def test_delimiters_need_consistency_and_regularity(spark):
+    plain = [("m", x) for x in ("felt", "cork", "brass", "AC/DC", "AC/DC")]
+    cells = plain + [("m", "felt; cork"), ("m", "cork;brass;felt"), ("m", "brass|felt"), ("m", "AC/DC; felt")]
+    # "/" cuts evenly, but its pieces are no values
+    assert _chosen(spark, cells) == {("m", ";"), ("m", "|")}
+    # "," makes known pieces only, so regularity alone would take it, but cuts no cell evenly
+    cells = plain[:3] * 3 + [("m", "felt; cork")] * 9 + [("m", x) for x in (",, felt", ",,cork,,", ", , brass ,", ",,,felt") for _ in range(9)]
+    d = spark.createDataFrame(cells, "source_key string, cell string")
+    by = {r.delimiter: r for r in pc.infer_delimiters(d).collect()}
+    assert by[","].regularity == 1 and by[","].consistency == 0 and not by[","].used and by[";"].used
+
+
+def test_a_list_column_always_has_a_delimiter(spark):
+    # no value stands alone and none comes twice
+    assert _chosen(spark, [("open", f"a{i}x; b{i}y; c{i}z") for i in range(40)] + [("single", "x"), ("none", "")]) == {("open", ";")}
+    assert _chosen(spark, [("few", "p q; r s"), *[("many", x) for x in ("a;b", "b", "a", "c;a", "c", "b;c")]]) == {("few", ";"), ("many", ";")}
+    assert pc.infer_delimiters(spark.createDataFrame([], "source_key string, cell string")).count() == 0
