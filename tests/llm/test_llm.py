@@ -46,7 +46,9 @@ def scanned(spark):
     return s, r
 
 
-def test_noisy_lines(spark):
+@pytest.mark.parametrize("spread", [5000, 1])
+def test_noisy_lines(spark, monkeypatch, spread):
+    monkeypatch.setattr(scans, "SPREAD", spread)
     s, r = scanned(spark)
     got = rows(scans.findings(s, r).select("doc_id", "seq", "line_no", "kind").distinct())
     assert got == [("d", 1, 0, "hyphen"), ("d", 1, 1, "compound"), ("d", 1, 1, "misread"), ("d", 1, 3, "running_head"), ("d", 1, 4, "running_head"), ("d", 1, 8, "running_head"), ("d", 1, 9, "running_head"), ("d", 2, 4, "running_head"), ("d", 2, 5, "running_head")]
