@@ -137,21 +137,90 @@ def signatures(texts: DataFrame, width: int, k: int, r: int) -> DataFrame:
     return made.mapInArrow(run, "id string, set_hash bigint, n int, bands array<bigint>, sketch binary")
 
 
-def _pairs(rows_: DataFrame, on: str) -> DataFrame:
-    """Distinct (a, b), a < b, of the ids that share a value of ``on``."""
-    left, right = rows_.withColumnRenamed("id", "a"), rows_.withColumnRenamed("id", "b")
-    return left.join(right, on).where("a < b").select("a", "b").distinct()
+_PAIR, _EDGE, _HOT = 0, 1, 2
+
+
+def _band_runs(batches):
+    """Pairs of the ids that share a key, from rows (key, id) sorted by both; for mapInArrow.
+
+    Rows (kind, key, a, b): pairs of the runs of one key that lie within the
+    task; ids of the first and last run, which may go on in another task; and
+    keys of more than HOT ids.  No more than HOT ids of a key are held.
+    """
+    names, types = ["kind", "key", "a", "b"], [I, L, L, L]
+
+    def out(kind, key, a, b):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), I), pa.array(np.full(n, key) if np.isscalar(key) else key, L), pa.array(a, L), pa.array(b, L)], names=names)
+
+    def edge(run):
+        key, ids, n = run
+        if n > HOT:
+            return out(_HOT, key, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        a = np.concatenate(ids)
+        return out(_EDGE, key, a, a)
+
+    held, first = None, True  # the last run so far: key, ids, number
+    for batch_ in batches:
+        key, ids = np.asarray(batch_.column("key")), np.asarray(batch_.column("id"))
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[starts[1:], len(key)]
+        if held is not None and held[0] == key[0]:
+            held = (held[0], [*held[1], ids[: ends[0]]] if held[2] + ends[0] <= HOT else [], held[2] + int(ends[0]))
+            starts, ends = starts[1:], ends[1:]
+        if not len(starts):
+            continue
+        done = [] if held is None else [held]
+        several = (ends - starts > 1) & (np.arange(len(starts)) < len(starts) - 1)
+        if first and held is None and len(starts) > 1:
+            done, several[0] = [(int(key[0]), [ids[: ends[0]]] if ends[0] <= HOT else [], int(ends[0]))], False
+        pairs = []
+        for run in done:
+            if first:
+                yield edge(run)
+                first = False
+            elif run[2] > HOT:
+                yield edge(run)
+            elif run[2] > 1:
+                a = np.concatenate(run[1])
+                i, j = np.triu_indices(len(a), 1)
+                pairs.append((a[i], a[j]))
+        for s, e in zip(starts[several], ends[several]):
+            if e - s > HOT:
+                yield edge((int(key[s]), [], int(e - s)))
+            else:
+                i, j = np.triu_indices(e - s, 1)
+                pairs.append((ids[s:e][i], ids[s:e][j]))
+        if pairs:
+            yield out(_PAIR, 0, np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]))
+        s = starts[-1]
+        held = (int(key[s]), [ids[s:]] if len(ids) - s <= HOT else [], len(ids) - int(s))
+    if held is not None:
+        yield edge(held)
 
 
 def _candidates(texts: DataFrame, sig: DataFrame, reps: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, of representatives that share a band, or rare sequences where the band has very many."""
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    # counted with map-side sums, so that no task meets a whole hot band
-    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
-    if hot.isEmpty():
-        return _pairs(keyed, "key")
-    many = materialise(keyed.join(hot, "key", "left_semi").select(F.col("id").alias("set_hash")).distinct())
-    return _pairs(keyed.join(hot, "key", "left_anti"), "key").unionByName(_rare_pairs(texts, sig, many, width, threshold)).distinct()
+    """Distinct (a, b), a < b, of representatives that share a band, or rare sequences where the band has very many.
+
+    Keys are sorted by ranges, with their ids, so that the members of a hot
+    band are spread over tasks; only what lies at the ends of a task is looked
+    at again.
+    """
+    keyed = reps.select(F.explode("bands").alias("key"), "id")
+    ordered = keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    got = materialise(ordered.mapInArrow(_band_runs, "kind int, key bigint, a bigint, b bigint"))
+    edge = got.where(f"kind = {_EDGE}").select("key", "a")
+    hot = got.where(f"kind = {_HOT}").select("key").distinct().unionByName(edge.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")).distinct()
+    hot = materialise(hot)
+    edge = edge.join(hot, "key", "left_anti")
+    across = edge.join(edge.select("key", F.col("a").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = got.where(f"kind = {_PAIR}").select("a", "b").unionByName(across)
+    if not hot.isEmpty():
+        many = materialise(keyed.join(hot, "key", "left_semi").select(F.col("id").alias("set_hash")).distinct())
+        pairs = pairs.unionByName(_rare_pairs(texts, sig, many, width, threshold))
+    return pairs.distinct()
 
 
 def _sets(texts: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -263,6 +263,34 @@ def test_hot_bands_lose_no_pair(spark, monkeypatch):
         assert rows(near.id_pairs(m, p)) == want and 20 < len(want) < 60 * 59 / 2
 
 
+def test_runs_of_bands_give_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for hot in (2, 5, 100):
+        monkeypatch.setattr(near, "HOT", hot)
+        for _ in range(60):
+            rows_ = sorted({(rng.randrange(-6, 6), rng.randrange(40)) for _ in range(rng.randrange(0, 60))})
+            got, at = [], 0
+            while at < len(rows_):
+                part = rows_[at : at + rng.randrange(1, 40)]
+                at += len(part)
+                cut = [part[i : i + 7] for i in range(0, len(part), 7)]
+                made = near._band_runs(pa.RecordBatch.from_pydict({"key": [k for k, _ in c], "id": [i for _, i in c]}, pa.schema([("key", pa.int64()), ("id", pa.int64())])) for c in cut)
+                got += [tuple(r.values()) for b in made for r in b.to_pylist()]
+            edges = defaultdict(list)
+            for kind, key, a, _ in got:
+                if kind == near._EDGE:
+                    edges[key].append(a)
+            hots = {key for kind, key, _, _ in got if kind == near._HOT} | {k for k, v in edges.items() if len(v) > hot}
+            pairs = [(a, b) for kind, _, a, b in got if kind == near._PAIR] + [(a, b) for k, v in edges.items() if k not in hots for a in v for b in v if a < b]
+            members = defaultdict(list)
+            for k, i in rows_:
+                members[k].append(i)
+            assert hots == {k for k, v in members.items() if len(v) > hot}
+            assert sorted(pairs) == sorted((a, b) for k, v in members.items() if k not in hots for a in v for b in v if a < b)
+
+
 def test_many_equal_texts_give_no_pairs(spark):
     d = spark.range(10_000).select(F.col("id").cast("string").alias("id"), F.lit("one text that is in the table very many times").alias("text"))
     m, p = near.links(d)
