@@ -145,6 +145,31 @@ def _series(f):
     return run
 
 
+_CHROME = re.compile("|".join(f"(?:{p})" for p in rules.CHROME), re.I)
+
+
+def post_pass(text: str, tables_gone: bool = True, words: bool = True) -> str:
+    """The pass on a document's Markdown: tables left out, bold, wraps, page furniture, words, white space."""
+    if tables_gone and "|" in text:
+        text = "\n".join(x for x in text.split("\n") if not x.strip().startswith("|"))
+    text = reflow(merge_bold(text))
+    text = "\n".join(x for x in text.split("\n") if not _CHROME.search(x.strip()))
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
+    if words:
+        text = join_spaced_letters(repair_words(text))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
+
+
+def clean_text(text: Column, tables_gone: bool, words: bool) -> Column:
+    """``post_pass`` in one Python stage."""
+    return _series(lambda t: post_pass(t, tables_gone, words))(text)
+
+
+def clean_words(text: Column) -> Column:
+    """Words repaired and spaced letters joined, in one Python stage."""
+    return _series(lambda t: join_spaced_letters(repair_words(t)))(text)
+
+
 fix_words = _series(repair_words)
 collapse_spaced = _series(join_spaced_letters)
 defragment_bold = _series(merge_bold)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import rules
 from paperloom.functions.text import is_math, strip
+from paperloom.operators.tables import table_markdown
 
 _LINES = r"\n|\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -109,6 +110,25 @@ def page_blocks(spans: DataFrame) -> DataFrame:
     return classify_blocks(block.join(by, ["doc_id", "page", "block_no"])).select("doc_id", "page", "block_no", "type", "level", "content", "markdown")
 
 
+def layout_sections(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(doc_id, part_no, para_no, type, level, content, prefix, headers, rows, source, score, markdown) of decoded pages.
+
+    Blocks come in their order, the page's tables (doc_id, page, table_no,
+    bbox, headers, rows, source, score) after them, from the top.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    b = page_blocks(spans).select(
+        "doc_id", F.col("page").alias("part_no"), F.col("block_no").alias("para_no"), "type", "level", "content", none("string").alias("prefix"),
+        none("array<string>").alias("headers"), none("array<array<string>>").alias("rows"), none("string").alias("source"), none("double").alias("score"), "markdown")
+    if tables is None:
+        return b
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.coalesce(F.col("bbox.y0"), F.lit(0.0)), "table_no"))
+    t = tables.select(
+        "doc_id", F.col("page").alias("part_no"), (1_000_000 + place).cast("int").alias("para_no"), F.lit("table").alias("type"), none("int").alias("level"), none("string").alias("content"),
+        none("string").alias("prefix"), "headers", "rows", "source", "score", table_markdown(F.col("headers"), F.col("rows")).alias("markdown"))
+    return b.unionByName(t.where("trim(markdown) <> ''"))
+
+
 def heading_level(size: Column, page_size: Column, content: Column) -> Column:
     ratio_ok = (size >= page_size * 1.4) & (F.length(content) < 200)
     return F.when(ratio_ok & (size >= page_size * 1.8), 1).when(ratio_ok & (size >= page_size * 1.6), 2).when(ratio_ok, 3)

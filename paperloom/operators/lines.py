@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import rules
 from paperloom.functions.text import any_of, collapse_newlines, strip
+from paperloom.operators import tables
 
 
 def explode_lines(docs: DataFrame, text: str = "markdown") -> DataFrame:
@@ -85,6 +86,27 @@ def drop_table_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~strip(F.col("line")).startswith("|"))
 
 
+def drop_garbage_tables(lines: DataFrame) -> DataFrame:
+    """Lines without the Markdown tables that are none: (doc_id, line_no, line).
+
+    A block of table lines is read into cells, rules left out.  A block of one
+    row goes by its width and fragments, another by what ``tables.garbage_reason``
+    says, and one of rules only goes.  Other lines stay as they are.
+    """
+    marked = table_blocks(lines)
+    s = strip(F.col("line"))
+    cells = F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|", -1), strip)
+    row = F.when(~s.rlike(r"(?U)^\|[\s\-:|]+\|$"), cells)
+    m = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("cells")))), lambda x: x["cells"]), lambda x: x.isNotNull())
+    blocks = marked.where("is_row").groupBy("doc_id", "block").agg(m.alias("m"))
+    t = tables.facts(blocks.select("doc_id", "block", "m", F.coalesce(F.get("m", F.lit(0)), F.array().cast("array<string>")).alias("headers"), F.slice("m", 2, F.greatest(F.size("m"), F.lit(1))).alias("rows")))
+    width, shards = F.size("headers"), F.round(F.col("_frag") * F.size("_text"))
+    lone = (width >= 6) | (shards >= F.greatest(F.lit(2), F.floor(width / 3))) | ((width >= 4) & (shards >= 2))
+    gone = F.when(F.size("m") == 0, F.lit(True)).when(F.size("m") == 1, lone).otherwise(tables.garbage_reason().isNotNull())
+    bad = t.where(gone).select("doc_id", "block", F.lit(True).alias("is_row"))
+    return marked.join(bad, ["doc_id", "block", "is_row"], "left_anti").select("doc_id", "line_no", "line")
+
+
 def table_offsets(lines: DataFrame) -> DataFrame:
     """(doc_id, table_no, start, end): where the Markdown tables of each text lie, as character offsets."""
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)

@@ -327,7 +327,7 @@ def dedupe_list(tables: DataFrame, threshold: float = 0.85) -> DataFrame:
     document, which is short.  Columns as given.
     """
     names = tables.columns
-    order = [c for c in ("page", "table_no", "seq") if c in names]
+    order = [c for c in ("page", "table_no", "part_no", "para_no", "seq") if c in names]
     low = F.concat_ws("\x02", F.concat_ws("\x01", F.transform(_plain(F.col("headers")), F.lower)), F.concat_ws("\x03", F.transform(_rows(F.col("rows")), lambda r: F.concat_ws("\x01", F.transform(_plain(r), F.lower)))))
     nth = F.row_number().over(Window.partitionBy("doc_id", "_sig").orderBy(*order))
     t = tables.withColumn("_sig", F.sha2(low, 256)).withColumn("_nth", nth).where("_nth = 1").drop("_sig", "_nth")
@@ -436,6 +436,18 @@ def accept(raw: DataFrame) -> DataFrame:
     return t.withColumn("headers", F.get("_full", F.lit(0))).withColumn("rows", F.slice("_full", 2, F.greatest(F.size("_full"), F.lit(1)))).drop("_m", "_full", "matrix")
 
 
+def vetted(raw: DataFrame) -> DataFrame:
+    """Raw tables of all passes as the tables of their pages: (doc_id, page, table_no, bbox, headers, rows, source, score).
+
+    Accepted tables of the first passes are merged per page; tables found by a
+    text strategy (source pdfplumber) count only on pages without any, the best
+    one of each page, the first of equals.
+    """
+    t = accept(raw).select("doc_id", "page", "table_no", "source", "bbox", "headers", "rows", "score")
+    late = F.col("source").startswith("pdfplumber")
+    return uncovered(merge_extractors(t.where(~late)), t.where(late))
+
+
 def ocr_rows(words: DataFrame, tolerance: int = 10) -> DataFrame:
     """(doc_id, row_no, words): words whose top is within ``tolerance`` of the first word of their row, from left to right."""
     sorted_ = F.array_sort(F.collect_list(F.struct("y", "x", "word_no", "text")))

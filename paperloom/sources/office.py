@@ -15,7 +15,7 @@ from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame
 
-from paperloom import schema
+from paperloom.sources.decode import decode as run_decoders
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -141,28 +141,10 @@ def _shapes(tree: ET.Element | None) -> Iterator[ET.Element]:
             yield el
 
 
-#: Decoders by file type; others can be added, see sources.registry.
+#: Decoders by file type; others can be added, see sources.scan.register.
 DECODERS = {"docx": decode_docx, "pptx": decode_pptx}
 
 
 def decode(files: DataFrame, decoders: dict | None = None) -> DataFrame:
-    """``files`` (doc_id, file_type, content) to rows of schema.DECODED."""
-    known = {**DECODERS, **(decoders or {})}
-    empty = {"error": None, "run": None, "raw": None, "image": None, "meta": None}
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for doc, kind, content in zip(b["doc_id"], b["file_type"], b["content"]):
-                try:
-                    if kind not in known:
-                        raise ValueError(f"no decoder for {kind}")
-                    # all rows of a file or none, so that a broken file has its error only
-                    out += [{"doc_id": doc, **empty, **row} for row in list(known[kind](bytes(content)))]
-                except Exception as e:  # noqa: BLE001 - one file must not end the batch
-                    out.append({"doc_id": doc, **empty, "error": f"Error: {e}"})
-            yield pd.DataFrame(out, columns=["doc_id", *empty])
-
-    return files.select("doc_id", "file_type", "content").mapInPandas(run, schema.DECODED)
+    """``files`` (doc_id, file_type, content) to rows of schema.DECODED, by these decoders and those given."""
+    return run_decoders(files, {**DECODERS, **(decoders or {})})

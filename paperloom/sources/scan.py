@@ -7,9 +7,24 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperloom.functions import rules
+from paperloom.sources.office import DECODERS
+from paperloom.sources.pdf import decode_pdf
 
+#: The decoders this package has.
+_OWN: dict[str, Callable[[bytes], Iterator[dict]]] = {**DECODERS, "pdf": decode_pdf}
 #: Decoders that need a library of their own: file type to a function that imports it when it is called.
 _plugins: dict[str, Callable[[bytes], Iterator[dict]]] = {}
+# How a library that finds tables by strategies is to be asked, in this order: by ruling, then by text where ruling finds nothing.
+TABLE_SETTINGS_STRICT = [
+    {"vertical_strategy": "lines", "horizontal_strategy": "lines", "intersection_tolerance": 5, "snap_tolerance": 3},
+    {"vertical_strategy": "lines_strict", "horizontal_strategy": "lines_strict", "intersection_tolerance": 3, "snap_tolerance": 3},
+    None,
+    {"vertical_strategy": "lines", "horizontal_strategy": "text", "min_words_horizontal": 2, "intersection_tolerance": 5},
+]
+TABLE_SETTINGS_TEXT = [
+    {"vertical_strategy": "text", "horizontal_strategy": "text", "min_words_vertical": 3, "min_words_horizontal": 2, "text_x_tolerance": 3, "text_y_tolerance": 3},
+    {"vertical_strategy": "text", "horizontal_strategy": "lines", "min_words_vertical": 3, "intersection_tolerance": 5},
+]
 
 
 def file_type(path: Column) -> Column:
@@ -20,12 +35,17 @@ def file_type(path: Column) -> Column:
 
 
 def register(kind: str, decoder: Callable[[bytes], Iterator[dict]]) -> None:
-    """A decoder for PDF or images: from bytes to dicts with run, raw, image or meta."""
+    """A decoder for a file type: from bytes to dicts with one of the columns of schema.DECODED.
+
+    It takes the place of the package's own decoder for that type.  Images
+    have none of their own: OCR gives ``ocr`` (the text), ``word`` (each with
+    its place) and ``image`` (the source itself, named source_image).
+    """
     _plugins[kind] = decoder
 
 
 def decoders() -> dict[str, Callable[[bytes], Iterator[dict]]]:
-    return dict(_plugins)
+    return {**_OWN, **_plugins}
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
