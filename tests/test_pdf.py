@@ -121,7 +121,7 @@ def test_decoders_take_part(spark, monkeypatch):
     # single letters in a fixed-width font are no section
     assert "A   B" not in [s.get("content") for s in json.loads(r["a.pdf"].structured)["sections"]] and "A   B" in r["a.pdf"].markdown
     assert r["b.png"].markdown.startswith("### Report on pumps") and "| gasket | 5 |" in r["b.png"].markdown and r["b.png"].markdown.endswith("![Source Image](images/source_image.png)")
-    assert [s["type"] for s in json.loads(r["b.png"].structured)["sections"]] == ["heading", "paragraph", "paragraph", "image"] and [i.filename for i in r["b.png"].images] == ["source_image.png"]
+    assert [s["type"] for s in json.loads(r["b.png"].structured)["sections"]] == ["heading", "heading", "paragraph", "image"] and [i.filename for i in r["b.png"].images] == ["source_image.png"]
 
 
 def test_garbage_tables_go(spark):
