@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.arrow import BYTES, I, L, S, batch, rows
+from paperloom.llm.filters import likely
 from paperloom.session import materialise
 
 import pyarrow as pa
@@ -235,7 +236,10 @@ def _sets(texts: DataFrame, sig: DataFrame, wanted: DataFrame, width: int) -> Da
                 out.append((xxhash.xxh3_64_intdigest(sh.tobytes()) - 2**63, sh.view(np.int64)))
             yield batch(out, ["set_hash", "sh"], [L, pa.list_(L)])
 
-    held = texts.where("text IS NOT NULL AND text <> ''").select(F.col("id").cast("string").alias("id"), "text").join(one.select("id").distinct(), "id", "left_semi")
+    one = materialise(one.select("id").distinct())
+    held = texts.where("text IS NOT NULL AND text <> ''").select(F.col("id").cast("string").alias("id"), "text")
+    # only texts that are likely wanted are shuffled
+    held = likely(held, one, "id").join(one, "id", "left_semi")
     return held.mapInArrow(run, "set_hash bigint, sh array<bigint>").join(wanted, "set_hash", "left_semi").dropDuplicates(["set_hash"])
 
 
@@ -280,8 +284,11 @@ def links(texts: DataFrame, width: int = 5, threshold: float = 0.8) -> tuple[Dat
     rep = sig.groupBy("set_hash").agg(F.min("id").alias("rep"))
     members = sig.select("id", "set_hash").distinct().join(rep, "set_hash").select("id", "set_hash", "rep")
     # a representative is named by its set, as one id may come with several texts
-    reps = sig.groupBy("set_hash").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
-    reps = materialise(reps.select(F.col("set_hash").alias("id"), "bands", "sketch", "n"))
+    # most sets have one text, and its bands stay where they are
+    several = materialise(sig.groupBy("set_hash").agg(F.count("*").alias("copies")).where("copies > 1").select("set_hash"))
+    reps = sig.select(F.col("set_hash").alias("id"), "bands", "sketch", "n")
+    among = several.withColumnRenamed("set_hash", "id")
+    reps = materialise(reps.join(among, "id", "left_anti").unionByName(reps.join(among, "id", "left_semi").dropDuplicates(["id"])))
     cand = _candidates(texts, sig, reps, width, threshold)
     floor = threshold - slack(threshold, k)
 
