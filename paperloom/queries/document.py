@@ -27,6 +27,7 @@ DOCS = "docs AS (SELECT DISTINCT doc_id, markdown FROM conversion_results WHERE
 FRAMED = f"{DOCS}, framed AS (SELECT doc_id, {_FRAME.format(s='VARCHAR')} AS markdown FROM (SELECT doc_id, markdown AS m FROM docs))"
 LINES = f"""{FRAMED}, split AS (SELECT doc_id, string_split(markdown, chr(10)) AS l FROM framed),
  lines AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS line FROM split)"""
+_WS0 = r"[\s\pZ\x{85}\x1c-\x1f]*"
 _WS = r"[\s\pZ\x{85}\x1c-\x1f]+"
 
 
@@ -189,11 +190,16 @@ _MATCH = r"""SELECT DISTINCT sample, CASE WHEN sample = upper(sample) THEN 'REPL
 
 
 def match_case_all(spark, d):
-    """As match_case, with the letters of all scripts: DuckDB cannot follow, so it has no SQL."""
+    """As match_case, with the letters of all scripts."""
     x = _sections(spark, d).where("type = 'heading'").select(F.regexp_extract("content", r"^(\p{L}[\p{L}\p{M}]*)", 1).alias("sample")).where("sample <> ''").distinct()
     return x.select("sample", tx.match_case(F.col("sample"), F.lit("replacement")).alias("cased"))
 
 
+_MATCH_ALL = r"""SELECT sample, CASE WHEN sample = upper(sample) AND regexp_matches(sample, '\p{Lu}') THEN 'REPLACEMENT' WHEN regexp_matches(sample, '^\p{Lu}') AND substr(sample, 2) = lower(substr(sample, 2)) AND length(sample) > 1 THEN 'Replacement'
+ WHEN sample = lower(sample) THEN 'replacement' WHEN regexp_matches(sample, '^\p{Lu}') THEN 'Replacement' ELSE 'replacement' END AS cased
+ FROM (SELECT DISTINCT regexp_extract(content, '^(\pL[\pL\pM]*)', 1) AS sample FROM sections WHERE type = 'heading') WHERE sample <> ''"""
+
+
 def html_escape(spark, d):
     return _sections(spark, d).where("content IS NOT NULL").select("doc_id", "seq", F.md5(tx.escape_html(F.col("content"))).alias("digest"))
 
@@ -204,7 +210,7 @@ def filename_sanitize(spark, d):
 
 
 def filename_sanitize_all(spark, d):
-    """As filename_sanitize, of all titles: DuckDB cannot follow, so it has no SQL."""
+    """As filename_sanitize, of all titles."""
     t = table(spark, d, "conversion_results").select(F.col("metadata.title").alias("title")).where("title IS NOT NULL").distinct()
     return t.select("title", tx.sanitize_filename(F.col("title")).alias("file_name"))
 
@@ -213,6 +219,10 @@ _SANITIZE = r"""SELECT title, CASE WHEN n = '' THEN 'untitled' ELSE n END AS fil
  FROM (SELECT DISTINCT metadata.title AS title FROM conversion_results WHERE metadata.title IS NOT NULL AND NOT regexp_matches(metadata.title, '[^\x00-\x7F]')))"""
 
 
+_SANITIZE_ALL = f"""SELECT title, CASE WHEN n = '' THEN 'untitled' ELSE n END AS file_name FROM (SELECT title, left(regexp_replace(regexp_replace(regexp_replace(title, '[^\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s\\pZ\\x{{85}}-]', '_', 'g'), '[-\\s\\pZ\\x{{85}}]+', '_', 'g'), '^_+|_+$', '', 'g'), 50) AS n
+ FROM (SELECT DISTINCT metadata.title AS title FROM conversion_results WHERE metadata.title IS NOT NULL))"""
+
+
 def image_filename(spark, d):
     t = table(spark, d, "extracted_tables").select("page", "table_no").distinct()
     return t.select("page", "table_no", tx.image_filename(F.col("page"), F.col("table_no") + 1, F.lit("png")).alias("file_name"))
@@ -286,6 +296,14 @@ def chunk_paragraph(spark, d):
     return chunking.chunks(docs(spark, d)).select("doc_id", "chunk_no", "start", F.length("chunk").alias("n_chars"))
 
 
+# Chunk after chunk: a window ends behind its last blank line if that lies in its second half.
+_PARAGRAPHS = f"""WITH RECURSIVE {DOCS}, c AS (SELECT doc_id, 0 AS chunk_no, 0 AS start, markdown AS t FROM docs
+ UNION ALL SELECT doc_id, chunk_no + 1, stop - 500, t FROM (SELECT *, start + CASE WHEN start + 15000 < length(t) AND r > 0 AND 14999 - r > 7500 THEN 15001 - r ELSE 15000 END AS stop
+  FROM (SELECT *, strpos(reverse(substr(t, start + 1, 15000)), chr(10) || chr(10)) AS r FROM c WHERE length(t) > 15000)) WHERE stop - 500 < length(t)),
+ e AS (SELECT *, strpos(reverse(substr(t, start + 1, 15000)), chr(10) || chr(10)) AS r FROM c)
+ SELECT doc_id, CAST(chunk_no AS INT) AS chunk_no, CAST(start AS INT) AS start, CAST(CASE WHEN start + 15000 < length(t) AND r > 0 AND 14999 - r > 7500 THEN 15001 - r ELSE least(15000, length(t) - start) END AS INT) AS n_chars FROM e"""
+
+
 def _changed(f) -> callable:
     """Documents of the corpus that a text repair changes, with the digest of the result."""
 
@@ -296,6 +314,26 @@ def _changed(f) -> callable:
     return run
 
 
+# Spaced words in front of a text, by a number both engines share, and what they become.
+_SPACED = """CASE length(m) % 4 WHEN 0 THEN 'R E P O R T   O N   P u m p s' WHEN 1 THEN '- A B C D  E   f g h i' WHEN 2 THEN '1 2 3 4 a b' ELSE 'A B C' || chr(10) || 'D E F G' END"""
+_JOINED = """CASE length(m) % 4 WHEN 0 THEN 'Report   O N   Pumps' WHEN 1 THEN '- Abcde fghi' WHEN 2 THEN '1234ab' ELSE 'A B C' || chr(10) || 'Defg' END"""
+
+
+def spaced_words_joined(spark, d):
+    """Texts with spaced words in front of them, those joined."""
+    x = docs(spark, d).withColumnRenamed("markdown", "m").select("doc_id", F.expr(f"{_SPACED} || chr(10) || m").alias("t"))
+    return x.select("doc_id", F.md5(tx.collapse_spaced(F.col("t"))).alias("digest"))
+
+
+# A word sign in Unicode.
+_W = r"[\pL\pM\p{Nd}\p{Nl}_]"
+_FINAL = f"""WITH {DOCS}, a AS (SELECT doc_id, replace(replace(replace(replace(markdown, '\\\\(', '\\('), '\\\\)', '\\)'), '\\\\[', '\\['), '\\\\]', '\\]') AS t FROM docs),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '({_W}){_WS0}\\^{_WS0}(\\p{{Nd}})', '\\1^{{\\2}}', 'g'), '({_W}){_WS0}_{_WS0}(\\p{{Nd}})', '\\1_{{\\2}}', 'g') AS t FROM a)
+ SELECT doc_id, md5({s("regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS digest FROM b"""
+# All bars and hashes are escaped, then those behind a word sign are put back.
+_ESCAPED = f"""WITH {DOCS}, e AS (SELECT doc_id, markdown, regexp_replace(regexp_replace(markdown, '([#|])', '\\\\\\1', 'g'), '({_W})\\\\([#|])', '\\1\\2', 'g') AS t FROM docs) SELECT doc_id, md5(t) AS digest FROM e WHERE t <> markdown"""
+
+
 def lines_digest(f) -> callable:
     return lambda spark, d: _digest(f(_lines(spark, d)))
 
@@ -341,6 +379,7 @@ QUERIES = {
     "chunk_paragraph": chunk_paragraph,
     "ligature_fix": _changed(tx.fix_words),
     "spaced_text_collapse": _changed(tx.collapse_spaced),
+    "spaced_words_joined": spaced_words_joined,
     "bold_defragment": _changed(lambda t: tx.defragment_bold(F.regexp_replace(t, r"\b([a-z]+ing) ([a-z]+)\b", "**$1** **$2**"))),
     "reflow": _changed(tx.reflow_hard_wraps),
 }
@@ -367,8 +406,10 @@ SQL = {
     "whitespace_clean": f"WITH {DOCS} SELECT doc_id, md5({s('t')}) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace('  ' || chr(10) || replace(markdown, '. ', '.  ' || repeat(chr(10), 4)), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM docs)",
     "math_detect": f"SELECT doc_id, seq, {like('t', rules.MATH, False)} AS is_math FROM (SELECT DISTINCT doc_id, seq, CASE WHEN seq % 4 = 0 THEN content || ' \\frac{{a}}{{b}}' ELSE content END AS t FROM ({_SEC_ALL}) WHERE content IS NOT NULL)",
     "match_case": _MATCH,
+    "match_case_all": _MATCH_ALL,
     "html_escape": f"SELECT doc_id, seq, md5(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM ({_SEC_ALL}) WHERE content IS NOT NULL",
     "filename_sanitize": _SANITIZE,
+    "filename_sanitize_all": _SANITIZE_ALL,
     "image_filename": "SELECT DISTINCT page, table_no, printf('page%03d_img%03d.png', page, table_no + 1) AS file_name FROM extracted_tables",
     "short_hash": f"WITH {DOCS} SELECT doc_id, left(md5(markdown), 12) AS hash FROM docs",
     "payload_dedupe": _PAYLOAD,
@@ -378,8 +419,10 @@ SQL = {
     "combined_markdown": _COMBINED,
     "truncate_text": f"WITH {DOCS} SELECT doc_id, md5(CASE WHEN length(markdown) > 2000 THEN left(markdown, 2000) || chr(10) || chr(10) || '... [TRUNCATED due to length] ...' ELSE markdown END) AS digest FROM docs",
     "strip_model_fence": f"WITH {DOCS} SELECT doc_id, md5(regexp_replace(regexp_replace({s('t')}, '^```\\n?', ''), '\\n?```$', '')) AS digest FROM (SELECT doc_id, '```' || chr(10) || markdown || chr(10) || '```' AS t FROM docs)",
-    "final_cleanup": None,
+    "final_cleanup": _FINAL,
+    "escape_markdown": _ESCAPED,
+    "chunk_paragraph": _PARAGRAPHS,
+    "spaced_words_joined": f"SELECT doc_id, md5({_JOINED} || chr(10) || m) AS digest FROM (SELECT DISTINCT doc_id, markdown AS m FROM conversion_results WHERE markdown IS NOT NULL)",
     "human_size": "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT doc_id, CAST(n_chars * n_chars AS DOUBLE) AS n FROM documents)",
     "chunk_fixed": _CHUNK,
 }
-SQL = {k: v for k, v in SQL.items() if v}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from paperloom.functions import rules
 from paperloom.functions.text import strip
@@ -122,6 +122,13 @@ def _label(x: str) -> str:
  AND (({caps} >= greatest(1.0, len({lines}) * 0.6) AND length({x}) < 200) OR (len({words}) > 0 AND length({x}) < 60 AND len(list_filter({words}, lambda w: length(w) = 1))::DOUBLE / greatest(len({words}), 1) >= 0.5)))"""
 
 
+# What the filter of noisy sections says of code and paragraphs.
+_ONES = "len(list_filter(ws, lambda w: length(w) = 1))::DOUBLE / greatest(len(ws), 1) >= 0.5 AND len(ws) > 0"
+_NOISE = f"""WITH sec AS (SELECT DISTINCT * FROM sections WHERE type IN ('code', 'paragraph') AND content IS NOT NULL), x AS (SELECT doc_id, seq, type, {s('content')} AS c FROM sec),
+ y AS (SELECT *, length(c) AS n, list_filter(string_split_regex(c, '[\\s\\pZ\\x{{85}}]+'), lambda w: w <> '') AS ws, length(regexp_replace(c, '[^\\pL\\pN]', '', 'g')) AS alnum, length(regexp_replace(c, '[\\pL\\pN\\s\\pZ\\x{{85}}]', '', 'g')) AS signs, {_label('c')} AS label FROM x)
+ SELECT doc_id, seq, type, CASE WHEN type = 'code' THEN label OR (n < 15 AND alnum::DOUBLE / greatest(n, 1) < 0.5) OR (n < 40 AND {_ONES}) OR (n > 0 AND signs::DOUBLE / greatest(n, 1) > 0.6 AND n < 100) ELSE label AND {_ONES} END AS noise FROM y"""
+
+
 def _score(x: str) -> str:
     lines = f"list_filter(string_split_regex({x}, '\\n|\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {s('l')} <> '')"
     m = lambda p, k: f"CASE WHEN regexp_matches({x}, '{p}') THEN {k} ELSE 0 END"
@@ -170,7 +177,25 @@ def ocr_tables(spark, d):
     return tb.ocr_tables(_ocr_words(spark, d)).select("doc_id", F.size("headers").alias("n_columns"), F.size("rows").alias("n_rows"))
 
 
-QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables)}
+def ocr_grid_tables(spark, d):
+    """Events as words of a page in a grid, every seventh a little off its row; every third page is ragged."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("doc_id"), "event_id", F.col("event_type").alias("text"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("k"), (F.col("user_id") % 3).alias("r"))
+    wide = F.when(F.col("r") == 0, F.when(F.col("k") < 9, 1).otherwise(7)).otherwise(4)
+    x = e.select("doc_id", F.col("event_id").cast("int").alias("word_no"), "text", ((F.col("k") % wide) * 100).cast("int").alias("x"), (F.floor(F.col("k") / wide) * 40 + F.when(F.col("k") % 7 == 0, 9).otherwise(0)).cast("int").alias("y"))
+    return tb.ocr_tables(x).select("doc_id", F.size("headers").alias("n_columns"), F.size("rows").alias("n_rows"))
+
+
+_RECUR = """o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, word_no) AS k FROM w), f AS (SELECT doc_id, word_no, text, x, y, k, y AS anchor, 0 AS row_no FROM o WHERE k = 1
+ UNION ALL SELECT o.doc_id, o.word_no, o.text, o.x, o.y, o.k, CASE WHEN abs(o.y - f.anchor) <= 10 THEN f.anchor ELSE o.y END, CASE WHEN abs(o.y - f.anchor) <= 10 THEN f.row_no ELSE f.row_no + 1 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+ g AS (SELECT doc_id, row_no, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY doc_id) AS longest FROM g)
+ SELECT doc_id, CAST(max(CASE WHEN row_no = 0 THEN n END) AS INT) AS n_columns, CAST(count(*) - 1 AS INT) AS n_rows FROM m GROUP BY doc_id HAVING sum(n) >= 6 AND count(*) >= 2 AND max(longest) >= 2 AND count(*) FILTER (n >= 2 AND n >= longest - 1) >= count(*) * 0.5"""
+_OCR_TABLES = f"WITH RECURSIVE w AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, event_id AS word_no, event_type AS text, (event_id * 37) % 900 AS x, (event_id * 13) % 200 AS y FROM events WHERE trim(event_type) <> ''), {_RECUR}"
+_OCR_GRID = f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, event_id, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, user_id % 3 AS r FROM events),
+ e2 AS (SELECT *, CASE WHEN r = 0 THEN CASE WHEN k < 9 THEN 1 ELSE 7 END ELSE 4 END AS wide FROM e),
+ w AS (SELECT doc_id, event_id AS word_no, text, (k % wide) * 100 AS x, (k // wide) * 40 + CASE WHEN k % 7 = 0 THEN 9 ELSE 0 END AS y FROM e2 WHERE trim(text) <> ''), {_RECUR}"""
+
+
+QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables, ocr_grid_tables)}
 SQL = {
     "heading_levels": _HEAD,
     "mono_blocks": f"WITH {SPANS} SELECT doc_id, block_no, coalesce(avg(CASE WHEN {_MONO} THEN 1.0 ELSE 0.0 END) FILTER ({_INK}) >= 0.6, false) AS mono FROM spans GROUP BY doc_id, block_no",
@@ -182,4 +207,7 @@ SQL = {
     "code_score": _CODE,
     "ocr_paragraph_type": _OCR,
     "ocr_rows": _OCR_ROWS,
+    "ocr_tables": _OCR_TABLES,
+    "ocr_grid_tables": _OCR_GRID,
+    "noise_section_flags": _NOISE,
 }

@@ -233,6 +233,24 @@ def _repaired(spark, d):
     return r.select(*KEY, F.md5(F.to_json(tb.repair_cells(F.col("matrix")))).alias("digest"))
 
 
+# The most frequent number of lines of a row's cells, the first of equals, decides into how many rows it goes.
+_EXPANDED = f"""WITH {RAW}, k AS (SELECT doc_id, page, table_no, row_no, length(cell) - length(replace(cell, chr(10), '')) + 1 AS n, col_no FROM c WHERE row_no > 0 AND {_S} <> ''),
+ g AS (SELECT doc_id, page, table_no, row_no, n, count(*) AS cells, min(col_no) AS first_col FROM k GROUP BY ALL), m AS (SELECT doc_id, page, table_no, row_no, arg_max(n, cells * 1000 - first_col) AS common FROM g GROUP BY ALL),
+ e AS (SELECT k.doc_id, k.page, k.table_no, k.row_no, CASE WHEN any_value(common) >= 3 AND count(*) FILTER (abs(n - common) <= 1)::DOUBLE / count(*) >= 0.6 THEN any_value(common) ELSE 1 END AS becomes FROM k JOIN m USING (doc_id, page, table_no, row_no) GROUP BY ALL)
+ SELECT doc_id, page, table_no, CAST(count(*) AS INT) AS rows_in, CAST(sum(CASE WHEN rr.row_no = 0 THEN 1 ELSE coalesce(becomes, 1) END) AS INT) AS rows_out FROM rr LEFT JOIN e USING (doc_id, page, table_no, row_no) GROUP BY ALL"""
+_REPAIR = "regexp_replace(regexp_replace(coalesce(replace(c, 'T 9', 'T A'), ''), '\\bP\\s*\\)', 'P_OUT)', 'g'), '\\bT\\s*A\\b([^≥≤]|$)', 'T_A\\1', 'g')"
+
+
+def cells_repaired(spark, d):
+    """Cells that the repair changes, after broken subscripts were put in by arithmetic both engines share."""
+    broken = F.when(F.length("cell") % 5 == 0, F.concat("cell", F.lit(" at P )"))).when(F.length("cell") % 5 == 1, F.concat(F.lit("T  A "), "cell")).otherwise(F.col("cell"))
+    r = _tables(spark, d).select(*KEY, F.posexplode("headers").alias("col_no", "cell")).where("cell IS NOT NULL").select(*KEY, "col_no", broken.alias("cell"))
+    fixed = F.get(F.get(tb.repair_cells(F.array(F.array("cell"))), F.lit(0)), F.lit(0))
+    return r.select(*KEY, "col_no", fixed.alias("fixed")).where(F.col("fixed") != F.col("cell"))
+
+
+_CELLS_REPAIRED = f"""WITH {CELLS}, b AS (SELECT doc_id, page, table_no, CAST(col_no - 1 AS INT) AS col_no, CASE WHEN length(cell) % 5 = 0 THEN cell || ' at P )' WHEN length(cell) % 5 = 1 THEN 'T  A ' || cell ELSE cell END AS cell FROM (SELECT doc_id, page, table_no, CAST(generate_subscripts(headers, 1) AS INT) AS col_no, unnest(headers) AS cell FROM t) WHERE cell IS NOT NULL),
+ f AS (SELECT *, {_REPAIR.replace("replace(c, 'T 9', 'T A')", 'cell')} AS fixed FROM b) SELECT doc_id, page, table_no, col_no, fixed FROM f WHERE fixed <> cell"""
 def _facts(column):
     return lambda spark, d: tb.facts(_tables(spark, d)).select(*KEY, F.round(column(), 6).alias("value"))
 
@@ -262,6 +280,7 @@ QUERIES = {
     "table_dedupe_list": _deduped,
     "multiline_expand": _expanded,
     "cell_repair": _repaired,
+    "cells_repaired": cells_repaired,
 }
 _K = "doc_id, page, table_no"
 SQL = {
@@ -284,4 +303,7 @@ SQL = {
     "top_tables": f"WITH {FACTS} SELECT {_K}, score FROM (SELECT {_K}, CAST(round(score, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, table_no) AS k FROM scored) WHERE k <= 2",
     "table_to_markdown": _MD,
     "table_to_json": _JSON,
+    "multiline_expand": _EXPANDED,
+    "cell_repair": f"WITH {RAW} SELECT doc_id, page, table_no, md5(CAST(to_json(list_transform(matrix, lambda r: list_transform(coalesce(r, []), lambda c: {_REPAIR}))) AS VARCHAR)) AS digest FROM raw",
+    "cells_repaired": _CELLS_REPAIRED,
 }
