@@ -77,6 +77,11 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_removed(spark: SparkSession, d: str) -> DataFrame:
+    """The number of words cut out of each document, and whether enough is left of it."""
+    return p7_clean(spark, d).select("doc_id", "removed", "kept").distinct()
+
+
 def p7_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.by_benchmark(p7_found(spark, d), table(spark, d, "eval_items"))
 
@@ -95,7 +100,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_removed, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
 _WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _GRAMS = """SELECT {k}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT {k}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {t})"""
 _LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items) WHERE len(w) > 0), ig AS ({_GRAMS.format(k='item_id', t='items')}),
@@ -133,6 +138,15 @@ SQL: dict[str, str] = {
  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
  SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.6 * (a.n + b.n - c)""",
+    "p5_groups": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(x='markdown')} AS w FROM (SELECT DISTINCT doc_id, markdown FROM conversion_results WHERE markdown IS NOT NULL)),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+ k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY doc_id), r AS (SELECT h, min(doc_id) AS rep, any_value(n) AS n FROM k GROUP BY h), rs AS (SELECT rep, g FROM r JOIN s ON s.doc_id = rep),
+ p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL), l AS (SELECT x, y FROM p JOIN r a ON a.rep = x JOIN r b ON b.rep = y WHERE c >= 0.8 * (a.n + b.n - c)),
+ reach(x, y) AS (SELECT rep, rep FROM r UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y), comp AS (SELECT x AS rep, min(y) AS class_id FROM reach GROUP BY x), deg AS (SELECT x AS rep, count(*) AS links FROM l GROUP BY x)
+ SELECT doc_id, class_id, CAST(coalesce(links, 0) AS BIGINT) AS links FROM k JOIN r USING (h) JOIN comp USING (rep) LEFT JOIN deg USING (rep)""",
     "p7_found": f"WITH {_LEAKS} SELECT item_id, doc_id FROM hits",
+    "p7_removed": f"""WITH {_LEAKS.split(' hits AS')[0]} win AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g, i FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d)),
+ spots AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS spot FROM win JOIN (SELECT DISTINCT n, g FROM ig) USING (n, g)), gone AS (SELECT doc_id, count(*) AS removed FROM spots GROUP BY doc_id)
+ SELECT DISTINCT doc_id, coalesce(removed, 0) AS removed, removed IS NULL OR removed < 0.5 * len({_WORDS.format(x='text')}) AS kept FROM documents LEFT JOIN gone USING (doc_id)""",
     "p7_benchmarks": f"""WITH {_LEAKS} SELECT benchmark, count(DISTINCT item_id) AS items, count(DISTINCT CASE WHEN doc_id IS NOT NULL THEN item_id END) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items LEFT JOIN hits USING (item_id) GROUP BY benchmark""",
 }
