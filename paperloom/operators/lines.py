@@ -74,6 +74,27 @@ def drop_reason(line: Column) -> Column:
     return F.when(is_page_number(line), "page_number").when(is_artifact(line), "artifact").when(is_leader(line), "leader_dots")
 
 
+def tagged(lines: DataFrame, threshold: int = 2) -> DataFrame:
+    """Lines with ``reason``: the first rule that drops each, page_number, repeated, artifact, leader_dots or run; null if it stays.
+
+    All rules in one shuffle by doc_id: a line's copies, and the line before it
+    that was left, are windows on the same partitions.  Repeats are counted
+    after page numbers are gone, runs after all else is.
+    """
+    s = strip(F.col("line"))
+    t = lines.repartition("doc_id").withColumn("_one", drop_reason(F.col("line")))
+    # page numbers are not counted, so they form groups of their own
+    number = F.coalesce(F.col("_one") == "page_number", F.lit(False))
+    n = F.count("*").over(Window.partitionBy("doc_id", "line", number))
+    t = t.withColumn("_n", n)
+    many = (F.col("_n") >= threshold) & (F.length(s) < 100) & (s != "") & ~is_structural(s)
+    t = t.withColumn("_why", F.when(number, "page_number").when(many, "repeated").otherwise(F.col("_one")))
+    left = F.when(F.col("_why").isNull(), s)
+    before = F.last(left, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    run = (s != "") & F.coalesce(s == before, F.lit(False)) & ~is_structural(s)
+    return t.withColumn("reason", F.coalesce("_why", F.when(run, "run"))).drop("_one", "_n", "_why")
+
+
 def table_blocks(lines: DataFrame, second_bar: bool = False) -> DataFrame:
     """Lines with ``is_row`` and ``block``, a number that all lines of one run of table lines share."""
     s = strip(F.col("line"))
@@ -132,13 +153,12 @@ def dedupe_tables(docs: DataFrame, text: str = "markdown", gap: str = r"\n{2,}")
 def remove_artifacts(docs: DataFrame, text: str = "markdown", min_repetition: int = 2) -> DataFrame:
     """All line rules in their order, then repeated tables, then blank lines: (doc_id, text)."""
     x = docs.select("doc_id", F.col(text).alias("markdown")).where("markdown IS NOT NULL")
-    lines = explode_lines(x).where(~is_page_number(F.col("line")))
-    lines = drop_repeated(lines, min_repetition)
-    lines = lines.where(~is_artifact(F.col("line")) & ~is_leader(F.col("line")))
-    made = dedupe_tables(assemble(collapse_runs(lines)))
-    # documents of which no line is left come back as empty texts
-    out = x.select("doc_id").distinct().join(made, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(collapse_newlines(F.col("markdown")), F.lit("")).alias(text))
+    # every document has a line, so one of which none is left comes back as an empty text
+    kept = F.when(F.col("reason").isNull(), F.struct("line_no", "line"))
+    parts = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["line"])
+    made = tagged(explode_lines(x), min_repetition).groupBy("doc_id").agg(F.array_join(parts, "\n").alias("markdown"))
+    made = dedupe_tables(made)
+    return made.select("doc_id", collapse_newlines(F.col("markdown")).alias(text))
 
 
 def is_noise_section(kind: Column, content: Column, label: Column) -> Column:

@@ -320,6 +320,13 @@ def same_extraction(ha: Column, ra: Column, hb: Column, rb: Column) -> Column:
     return (F.abs(F.size(_list(ha)) - F.size(_list(hb))) <= 1) & (F.coalesce(first, F.lit(False)) | F.coalesce(heads, F.lit(False)))
 
 
+def page_pairs(tables: DataFrame) -> DataFrame:
+    """(doc_id, page, a, b): each two tables of one page, a before b, as structs of all other columns."""
+    rest = F.struct(*[c for c in tables.columns if c not in ("doc_id", "page")])
+    x = tables.select("doc_id", "page", rest.alias("a"))
+    return x.join(x.withColumnRenamed("a", "b"), ["doc_id", "page"]).where("a.table_no < b.table_no")
+
+
 def dedupe_list(tables: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Without tables that repeat one kept before them in their document (order: page, table_no).
 

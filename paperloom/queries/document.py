@@ -78,18 +78,10 @@ _RUNS = f"SELECT doc_id, line_no, line FROM (SELECT *, lag({s('line')}) OVER (PA
 
 def line_cleanup_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Lines in, lines out and lines dropped by reason of each document."""
-    first = _lines(spark, d)
-    one = first.where(~ln.is_page_number(F.col("line")))
-    two = ln.drop_repeated(one)
-    three = two.withColumn("reason", F.when(ln.is_artifact(F.col("line")), "artifact").when(ln.is_leader(F.col("line")), "leader"))
-    four = ln.collapse_runs(three.where("reason IS NULL").drop("reason"))
-    n = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    counts = n(first, "lines_in")
-    for df, name in ((one, "no_numbers"), (two, "no_repeats"), (three.where("reason IS NULL"), "no_artifacts"), (four, "lines_out")):
-        counts = counts.join(n(df, name), "doc_id", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return counts.select("doc_id", "lines_in", (F.col("lines_in") - z("no_numbers")).alias("page_numbers"), (z("no_numbers") - z("no_repeats")).alias("repeated"),
-        (z("no_repeats") - z("no_artifacts")).alias("artifacts"), (z("no_artifacts") - z("lines_out")).alias("runs"), z("lines_out").alias("lines_out"))
+    n = lambda *reasons: F.sum(F.col("reason").isin(*reasons).cast("bigint"))
+    return ln.tagged(_lines(spark, d)).groupBy("doc_id").agg(
+        F.count("*").alias("lines_in"), F.coalesce(n("page_number"), F.lit(0)).alias("page_numbers"), F.coalesce(n("repeated"), F.lit(0)).alias("repeated"),
+        F.coalesce(n("artifact", "leader_dots"), F.lit(0)).alias("artifacts"), F.coalesce(n("run"), F.lit(0)).alias("runs"), F.sum(F.col("reason").isNull().cast("bigint")).alias("lines_out"))
 
 
 _PIPE = f"""{LINES}, l1 AS (SELECT * FROM lines WHERE NOT {_PAGE}), l2 AS ({_REPEAT.replace('{t}', 'l1')}), l3 AS (SELECT * FROM l2 WHERE NOT {_ART} AND NOT {_LEAD}), l4 AS ({_RUNS.replace('{t}', 'l3')})"""

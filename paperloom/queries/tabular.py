@@ -151,6 +151,33 @@ _OVERLAP = f"""WITH {_PAIRS}, g AS (SELECT *, {_WORDSET.replace('{h}', 'ha')} AS
  SELECT doc_id, table_a, table_b, CAST(round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 ELSE len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) END, 6) AS DOUBLE) AS overlap FROM g"""
 
 
+def page_table_pairs(spark, d):
+    """Each two tables of a page: whether their places overlap, whether they are one table, and by which words."""
+    t = _tables(spark, d).select(*KEY, "headers", "rows", "bbox")
+    a, b = F.col("a"), F.col("b")
+    # tables of a page stand below one another here; the second is moved up by most of the distance
+    moved = F.struct(b["bbox"]["x0"].alias("x0"), *[(b["bbox"][k] - (b["bbox"]["y0"] - a["bbox"]["y0"]) * 0.9).alias(k) for k in ("y0",)], b["bbox"]["x1"].alias("x1"), (b["bbox"]["y1"] - (b["bbox"]["y0"] - a["bbox"]["y0"]) * 0.9).alias("y1"))
+    first = lambda r: F.get(F.coalesce(r, F.array().cast("array<array<string>>")), F.lit(0))
+    return tb.page_pairs(t).select(
+        "doc_id", "page", F.col("a.table_no").alias("table_a"), F.col("b.table_no").alias("table_b"),
+        tb.bboxes_overlap(a["bbox"], F.when(b["bbox"].isNotNull() & a["bbox"].isNotNull(), moved)).alias("overlap"),
+        tb.same_table(a["headers"], a["rows"], b["headers"], b["rows"]).alias("same"),
+        tb.same_extraction(a["headers"], a["rows"], b["headers"], b["rows"]).alias("one"),
+        F.round(F.coalesce(tb.word_overlap(first(a["rows"]), first(b["rows"])), F.lit(0.0)), 6).alias("first_words"))
+
+
+_ROWSET = "list_distinct(list_filter(string_split_regex(lower(array_to_string(list_transform(list_filter(coalesce({h}, []), lambda x: coalesce(x, '') <> ''), lambda x: " + s("x") + "), ' ')), '[\\s\\pZ]+'), lambda w: w <> ''))"
+_SHARE = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / greatest(len({a}), len({b})) END"
+_PAGE_PAIRS = f"""WITH t AS (SELECT DISTINCT doc_id, page, table_no, headers, rows, bbox FROM extracted_tables),
+ p AS (SELECT a.doc_id, a.page, a.table_no AS table_a, b.table_no AS table_b, a.headers AS ha, b.headers AS hb, a.rows AS ra, b.rows AS rb, a.bbox AS p, b.bbox AS o FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND a.table_no < b.table_no),
+ m AS (SELECT *, o.y0 - (o.y0 - p.y0) * 0.9 AS y0, o.y1 - (o.y0 - p.y0) * 0.9 AS y1, {_SIG.replace('{r}', 'ra')} AS sa, {_SIG.replace('{r}', 'rb')} AS sb, {_LOW.replace('{h}', 'ha')} AS la, {_LOW.replace('{h}', 'hb')} AS lb,
+  {_ROWSET.replace('{h}', 'ra[1]')} AS fa, {_ROWSET.replace('{h}', 'rb[1]')} AS fb, {_WORDSET.replace('{h}', 'ha')} AS wa, {_WORDSET.replace('{h}', 'hb')} AS wb FROM p),
+ i AS (SELECT *, least(p.x1, o.x1) - greatest(p.x0, o.x0) AS w, least(p.y1, y1) - greatest(p.y0, y0) AS h, least((p.x1 - p.x0) * (p.y1 - p.y0), (o.x1 - o.x0) * (y1 - y0)) AS area, coalesce({_SHARE.format(a='fa', b='fb')}, 0.0) AS first_words, {_SHARE.format(a='wa', b='wb')} AS head_words FROM m)
+ SELECT doc_id, page, table_a, table_b, p IS NOT NULL AND o IS NOT NULL AND coalesce(w > 0 AND h > 0 AND area > 0 AND w * h > 0.5 * area, false) AS overlap,
+  (la = lb OR list_filter(la, lambda x: x <> '') = list_filter(lb, lambda x: x <> '')) AND CASE WHEN len(sa) = 0 OR len(sb) = 0 THEN len(sa) = 0 AND len(sb) = 0 ELSE len(list_intersect(sa, sb))::DOUBLE / greatest(len(list_distinct(list_concat(sa, sb))), 1) >= 0.85 END AS same,
+  abs(len(ha) - len(hb)) <= 1 AND (first_words > 0.3 OR head_words > 0.3) AS one, CAST(round(first_words, 6) AS DOUBLE) AS first_words FROM i"""
+
+
 def _best(spark, d):
     return tb.best_per(_tables(spark, d), ["doc_id"], "table_no").select("doc_id", "page", "table_no", F.round("score", 6).alias("score"))
 
@@ -270,6 +297,7 @@ QUERIES = {
     "bbox_overlap_pairs": _bbox_pairs,
     "table_dup_pairs": _dup_pairs,
     "header_word_overlap": _overlap,
+    "page_table_pairs": page_table_pairs,
     "best_table_per_document": _best,
     "uncovered_page_fallback": _uncovered,
     "top_tables": _top,
@@ -298,6 +326,7 @@ SQL = {
     "bbox_overlap_pairs": _BBOX,
     "table_dup_pairs": _DUP,
     "header_word_overlap": _OVERLAP,
+    "page_table_pairs": _PAGE_PAIRS,
     "best_table_per_document": f"WITH {FACTS} SELECT doc_id, page, table_no, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, table_no) AS k FROM scored) WHERE k = 1 AND score >= 0",
     "uncovered_page_fallback": _UNCOVERED,
     "top_tables": f"WITH {FACTS} SELECT {_K}, score FROM (SELECT {_K}, CAST(round(score, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, table_no) AS k FROM scored) WHERE k <= 2",
