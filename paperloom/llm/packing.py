@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import itertools
 import random
 from collections import Counter
 
@@ -26,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paperloom.arrow import I, L, S, batch, rows
-from paperloom.session import materialise, small_rows
+from paperloom.session import materialise
 
 ISLANDS = 4
 POPULATION = 12
 #: An epoch ends after so many children without a gain, the evolution after so many epochs.
 PATIENCE = 60
 STALLED = 2
+#: So many sizes are tried as the first of several items that fill a container.
+TRIES = 48
 #: Items of one size are numbered in parts of about so many rows, and meet their places in blocks of so many numbers.
 PART, BLOCK = 20_000, 64
+#: So many targets are packed at once; more are worked off in blocks.
 MAX_TARGETS = 1000
 
 
@@ -153,8 +157,95 @@ def _blurred(supply: Counter, rng: random.Random) -> list[int]:
     return sorted(supply, key=lambda s: -s * (1 - 0.25 * rng.random()))
 
 
+def _exact(gap: int, most: int, left: Counter, sizes: list[int], rng: random.Random) -> tuple[int, ...] | None:
+    """Up to three items of ``left``, none larger than ``most``, that fill ``gap`` exactly; few and large ones first."""
+
+    def two(gap: int, most: int) -> tuple[int, ...] | None:
+        if gap <= most and left[gap] > 0:
+            return (gap,)
+        # the larger of two is at least half of the gap
+        for i in range(bisect.bisect_right(sizes, min(most, gap - 1)) - 1, bisect.bisect_left(sizes, (gap + 1) // 2) - 1, -1):
+            x = sizes[i]
+            if left[x] > 0 and left[gap - x] > (gap - x == x):
+                return x, gap - x
+        return None
+
+    if found := two(gap, most):
+        return found
+    firsts = sizes[: bisect.bisect_right(sizes, min(most, gap - 2))]
+    for x in sorted(rng.sample(firsts, min(len(firsts), TRIES)), reverse=True):
+        if left[x] > 0:
+            left[x] -= 1
+            rest = two(gap - x, x)
+            left[x] += 1
+            if rest:
+                return x, *rest
+    return None
+
+
+def filled_counts(supply: Counter, cap: int, start: Counter, order: list[int], rng: random.Random) -> Counter:
+    """Each item in turn begins containers that others fill exactly, as long as there are such; best fit places the rest."""
+    left, out = Counter(supply), Counter(start)
+    sizes = sorted(left)
+    for s in order:
+        while left[s] > 0:
+            left[s] -= 1
+            more = () if s == cap else _exact(cap - s, s, left, sizes, rng)
+            left[s] += 1
+            if more is None:
+                break
+            need = Counter((s, *more))
+            n = min(left[x] // k for x, k in need.items())
+            out[tuple(sorted(need.items(), reverse=True))] += n
+            for x, k in need.items():
+                left[x] -= n * k
+    return best_fit_counts(+left, cap, out)
+
+
+def improved_counts(bins: Counter, left: Counter, cap: int) -> tuple[Counter, Counter]:
+    """Containers with room made fuller by swaps with displaced items: one or two for one or two.
+
+    What comes out is smaller than what goes in, so that best fit places it
+    more easily.  Returns the containers and what is left over.
+    """
+    out, left = Counter(), Counter(left)
+    for p, n in sorted(bins.items(), key=lambda x: (-held(x[0]), x[0])):
+        room = cap - held(p)
+        items = [s for s, k in p for _ in range(min(k, 2))]
+        while n and room:
+            sizes = sorted(s for s in left if left[s] > 0)
+            best = None
+            for gone in {(x,) for x in items} | {tuple(sorted(x)) for x in itertools.combinations(items, 2)}:
+                w = sum(gone)
+                # one item, then two, that come closest to the room from below
+                i = bisect.bisect_right(sizes, w + room) - 1
+                if i >= 0 and sizes[i] > w and (best is None or sizes[i] - w > best[0]):
+                    best = (sizes[i] - w, gone, (sizes[i],))
+                for x in sizes[-TRIES:] if len(gone) == 2 or room > w else ():
+                    j = bisect.bisect_right(sizes, w + room - x) - 1
+                    if j >= 0 and sizes[j] + x > w and left[sizes[j]] > (sizes[j] == x) and (best is None or sizes[j] + x - w > best[0]):
+                        best = (sizes[j] + x - w, gone, (x, sizes[j]))
+            if best is None:
+                break
+            _, gone, come = best
+            need = Counter(come)
+            m = min(n, *(left[x] // k for x, k in need.items()))
+            q = Counter(dict(p))
+            q.subtract(gone)
+            q.update(come)
+            out[tuple(sorted((+q).items(), reverse=True))] += m
+            for x in come:
+                left[x] -= m
+            for x in gone:
+                left[x] += m
+            n -= m
+        if n:
+            out[p] += n
+    return out, +left
+
+
 def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: random.Random) -> Counter:
-    """The well-filled containers of ``b`` in ``a``; what they displace is put back by best fit."""
+    """Well-filled containers of ``b`` in ``a``; what they displace makes others fuller by swaps, and best fit places the rest."""
     left, child = Counter(supply), Counter()
 
     def take(p: Pattern, n: int) -> None:
@@ -168,12 +259,15 @@ def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: ran
     best = ranked[: max(1, len(ranked) // 2)]
     for p in [p for p in best if rng.random() < 0.5] or best[:1]:
         take(p, b[p])
-    # what is not full, and some of what is, gives its items up as well
-    for p in sorted(a, key=lambda p: (-held(p), rng.random())):
-        if held(p) == cap and rng.random() < 0.95:
-            take(p, a[p])
-    left = +left
-    return best_fit_counts(left, cap, child, None if rng.random() < 0.5 else _blurred(left, rng))
+    # the emptier containers give their items up as well, and so do some of the others
+    rest = sorted(a, key=lambda p: (-held(p), rng.random()))
+    drop = rng.choice((0.02, 0.1, 0.3))
+    for p in rest:
+        if held(p) == cap or rng.random() < 0.5:
+            take(p, sum(rng.random() >= drop for _ in range(a[p])) if a[p] <= 50 else round(a[p] * (1 - drop)))
+    child, left = improved_counts(child, +left, cap)
+    order = sorted(left, reverse=True) if rng.random() < 0.5 else _blurred(left, rng)
+    return filled_counts(left, cap, child, order, rng) if rng.random() < 0.5 else best_fit_counts(left, cap, child, order)
 
 
 def evolve_counts(supply: Counter, cap: int, start: list[Counter], seed: int) -> Counter:
@@ -184,7 +278,10 @@ def evolve_counts(supply: Counter, cap: int, start: list[Counter], seed: int) ->
     people = [*start, best_fit_counts(supply, cap, Counter())]
     people.sort(key=worth)
     while people[0].total() > least and len(people) < POPULATION:
-        people.append(best_fit_counts(supply, cap, Counter(), _blurred(supply, rng)))
+        if len(people) % 2:
+            people.append(filled_counts(supply, cap, Counter(), _blurred(supply, rng), rng))
+        else:
+            people.append(best_fit_counts(supply, cap, Counter(), _blurred(supply, rng)))
         people.sort(key=worth)
     idle = 0
     while people[0].total() > least and idle < PATIENCE:
@@ -298,12 +395,16 @@ def pack(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFr
     Pieces of a text count from 0; ``first_token`` is where a piece begins.
     ``container`` is unique within its target.
     """
-    todo = small_rows(targets.select("target", "capacity_tokens").distinct(), MAX_TARGETS)
-    if todo is None:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    if not todo:
-        return docs.sparkSession.createDataFrame([], "target string, container string, doc_id bigint, piece int, first_token bigint, tokens bigint")
-    counts = materialise(token_counts(docs, path).distinct())
+    found = targets.select("target", "capacity_tokens").distinct().toLocalIterator()
+    out, counts = docs.sparkSession.createDataFrame([], "target string, container string, doc_id bigint, piece int, first_token bigint, tokens bigint"), None
+    while todo := list(itertools.islice(found, MAX_TARGETS)):
+        counts = counts or materialise(token_counts(docs, path).distinct())
+        out = out.unionByName(_packed(counts, todo))
+    return out
+
+
+def _packed(counts: DataFrame, todo: list) -> DataFrame:
+    """``pack`` of the texts in ``counts`` (doc_id, tokens) for a block of targets."""
     n = counts.count()
     caps = F.array(*[F.struct(F.lit(t.target).alias("target"), F.lit(t.capacity_tokens).cast("long").alias("cap")) for t in todo])
     every = counts.select("doc_id", "tokens", F.explode(caps).alias("c")).select("c.target", "c.cap", "doc_id", "tokens")
@@ -328,3 +429,24 @@ def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("target", "capacity_tokens").distinct().join(t, "target", "left").select(
         "target", "capacity_tokens", F.coalesce("containers", F.lit(0)).alias("containers"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("fill"))
+
+
+def compared(packed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, capacity_tokens, containers, best_fit, bound) of each target: the containers used, those that plain
+    best fit, largest first, would use, and the number no packing can do without."""
+    t = targets.select("target", "capacity_tokens").distinct()
+    p = materialise(packed.select("target", "container", "tokens"))
+    used = p.groupBy("target").agg(F.countDistinct("container").alias("containers"), F.count_if(F.col("container").startswith("full-")).alias("full"))
+    rest = p.where("container LIKE 'mixed-%' AND tokens > 0").groupBy("target", "tokens").agg(F.count("*").alias("n")).join(t, "target")
+
+    def plain(x: pa.Table) -> pa.Table:
+        r = x.to_pydict()
+        supply, cap = Counter(dict(zip(r["tokens"], r["n"]))), r["capacity_tokens"][0]
+        bound = -(-sum(s * n for s, n in supply.items()) // cap)
+        return pa.Table.from_pydict({"target": r["target"][:1], "fits": [best_fit_counts(supply, cap, Counter()).total()], "least": [bound]}, pa.schema([("target", S), ("fits", L), ("least", L)]))
+
+    # one row for each size, so a group is bounded by the capacity
+    other = rest.groupBy("target").applyInArrow(plain, "target string, fits bigint, least bigint")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    both = t.join(used, "target", "left").join(other, "target", "left")
+    return both.select("target", "capacity_tokens", z("containers").alias("containers"), (z("full") + z("fits")).alias("best_fit"), (z("full") + z("least")).alias("bound"))

@@ -69,6 +69,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d), table(spark, d, "pack_targets"))
 
 
+def p6_compared(spark: SparkSession, d: str) -> DataFrame:
+    """The containers of the evolution beside those of plain best fit, and the lower bound."""
+    return packing.compared(p6_containers(spark, d), table(spark, d, "pack_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -100,7 +105,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(docs, truncation.truncated(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p7_found, p7_clean, p7_removed, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_canonical, p5_found, p5_groups, p6_containers, p6_fill, p6_compared, p7_found, p7_clean, p7_removed, p7_benchmarks, p8_found, p8_evidence, p8_rates)}
 _WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 _GRAMS = """SELECT {k}, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT {k}, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM {t})"""
 _LEAKS = f"""items AS (SELECT item_id, least(13, len(w)) AS n, w FROM (SELECT item_id, {_WORDS.format(x='text')} AS w FROM eval_items) WHERE len(w) > 0), ig AS ({_GRAMS.format(k='item_id', t='items')}),

@@ -4,7 +4,7 @@ import os
 import random
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -346,6 +346,62 @@ def test_packing_is_no_worse_than_best_fit_over_all(spark):
         assert got[target] <= sum(s // cap for s in sizes.values()) + len(plain)
 
 
+def test_evolution_beats_best_fit():
+    rng = random.Random(1)
+    cases = [(Counter({4: 100, 3: 200}), 10)]
+    cases += [(Counter(rng.randrange(15, 60) for _ in range(600)), 100) for _ in range(4)]
+    triples = Counter()
+    for _ in range(60):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, (1000 - a) // 2 + 1)
+        triples.update([a, b, 1000 - a - b])
+    for supply, cap in [*cases, (triples, 1000)]:
+        plain, best = packing.best_fit_counts(supply, cap, Counter()), packing.evolve_counts(supply, cap, [], 3)
+        least = -(-sum(s * n for s, n in supply.items()) // cap)
+        assert least <= best.total() < plain.total()
+        held = Counter()
+        for p, n in best.items():
+            assert packing.held(p) <= cap
+            for s, k in p:
+                held[s] += n * k
+        assert held == supply
+
+
+def test_swaps_keep_all_items():
+    rng = random.Random(6)
+    for _ in range(100):
+        supply = Counter(rng.randrange(1, 40) for _ in range(rng.randrange(1, 60)))
+        bins = packing.best_fit_counts(Counter({s: n // 2 for s, n in supply.items() if n > 1}), 60, Counter())
+        inside = Counter()
+        for p, n in bins.items():
+            for s, k in p:
+                inside[s] += n * k
+        out, left = packing.improved_counts(bins, supply - inside, 60)
+        after = Counter(left)
+        for p, n in out.items():
+            assert packing.held(p) <= 60
+            for s, k in p:
+                after[s] += n * k
+        assert after == supply and out.total() == bins.total()
+
+
+@needs_data
+def test_targets_in_blocks_give_the_same(spark, monkeypatch):
+    d, t = table(spark, DATA, "documents"), table(spark, DATA, "pack_targets")
+    want = rows(packing.fill(packing.pack(d, t), t))
+    monkeypatch.setattr(packing, "MAX_TARGETS", 1)
+    assert rows(packing.fill(packing.pack(d, t), t)) == want and want[0][2]
+    assert packing.pack(d, t.limit(0)).count() == 0
+
+
+def test_compared(spark):
+    sizes = [4] * 10 + [3] * 20 + [25, 0]
+    counts = [(i, "t", f"mixed-{i % 12}" if n < 25 else "full-x", 0, 0, n) for i, n in enumerate(sizes)]
+    p = spark.createDataFrame(counts, "doc_id bigint, target string, container string, piece int, first_token bigint, tokens bigint")
+    t = spark.createDataFrame([("t", 10), ("u", 5)], "target string, capacity_tokens int")
+    assert rows(packing.compared(p, t)) == [("t", 10, 13, 13, 11), ("u", 5, 0, 0, 0)]
+
+
 # 7 leaks
 
 
