@@ -77,21 +77,37 @@ MISREAD_WORDS = {
 }
 
 # Short cells that are no fragments.
-KNOWN_SHORT = (
-    "min max typ avg std var mhz ghz khz hz dbm db v mv ma ua na pa rf if dc ac bw tx rx id no yes n/a nil usd eur qty pct pdf doi ieee "
-    "s21 s11 s22 s12 oip3 iip3 p1db nf vs to of or and the a b c d e x y z"
-).split()
+KNOWN_SHORT = [
+    "min", "max", "typ", "avg", "std", "var", "mhz", "ghz", "khz", "hz", "dbm", "db", "v", "mv", "ma", "ua", "na", "pa", "rf", "if", "dc", "ac", "bw",
+    "tx", "rx", "id", "no", "yes", "n/a", "nil", "usd", "eur", "qty", "pct", "pdf", "doi", "ieee", "s21", "s11", "s22", "s12", "oip3", "iip3", "p1db",
+    "nf", "vs", "to", "of", "or", "and", "the", "a", "b", "c", "d", "e", "x", "y", "z",
+]
 # Words usual in table headers.
-COMMON_WORDS = (
-    "parameter test conditions comments min typ max unit frequency gain output input power supply voltage current temperature range description "
-    "function component value default model package option branding pin mnemonic magnitude angle rating absolute maximum operating storage "
-    "dissipation noise figure compression intercept isolation return loss interface exposed paddle name number type speed bandwidth impedance s11 "
-    "s12 s21 s22 oip3 p1db vpos rfout rfin capacitance inductance resistance material dimension weight height width length depth thickness table "
-    "note notes symbol typical characteristic performance specification electrical characteristics overview revision history ordering guide "
-    "information general application circuit"
-).split()
+COMMON_WORDS = [
+    "parameter", "test", "conditions", "comments", "min", "typ", "max", "unit", "frequency", "gain", "output", "input", "power", "supply", "voltage",
+    "current", "temperature", "range", "description", "function", "component", "value", "default", "model", "package", "option", "branding", "pin",
+    "mnemonic", "magnitude", "angle", "rating", "absolute", "maximum", "operating", "storage", "dissipation", "noise", "figure", "compression",
+    "intercept", "isolation", "return", "loss", "interface", "exposed", "paddle", "name", "number", "type", "speed", "bandwidth", "impedance", "s11",
+    "s12", "s21", "s22", "oip3", "p1db", "vpos", "rfout", "rfin", "capacitance", "inductance", "resistance", "material", "dimension", "weight", "height",
+    "width", "length", "depth", "thickness", "table", "note", "notes", "symbol", "typical", "characteristic", "performance", "specification",
+    "electrical", "characteristics", "overview", "revision", "history", "ordering", "guide", "information", "general", "application", "circuit",
+]
 # Words that do not count when headers are compared.
 HEADER_STOP_WORDS = ["of", "the", "a", "and", "or", "for", "in", "to"]
 MONO_FONTS = ["mono", "courier", "consol"]
 MONO_RUN_FONTS = ["consol", "courier", "mono", "code"]
 CODE_STYLES = ["code", "source", "preformatted", "no spacing", "html preformatted"]
+
+# Signs that a text is code and no drawing label, and lines in capitals.
+LABEL_CODE = r"[{};]|::|->|=>|</?\w+>|\b(def|class|function|return|import|include|const|var|let|void)\b"
+LABEL_CAPITALS = r"^[A-Z0-9][A-Z0-9 \-_/]+$"
+# Signs of code and the points for each.
+CODE_POINTS = [
+    (r"[{};]", 2), (r"::|->|=>", 2),
+    (r"\b(def|class|function|return|import|from|const|var|let|void|int|float|public|private|package)\b", 2),
+    (r"[=<>]=|&&|\|\||<<|>>", 1), (r"(?m)^\s*#include\b|^\s*using\s+namespace\b", 2), (r"</?[A-Za-z][^>]*>", 1),
+]
+# Signs of code in a recognised line and the points for each.
+OCR_CODE_POINTS = [
+    (r"^\s*(def |class |import |from |if __name__)", 3), (r"^\s*(function |var |const |let |=>)", 2), (r"^\s*(#include |int main|void |public |private )", 3), (r"[{};]\s*$", 1),
+]

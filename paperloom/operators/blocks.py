@@ -22,10 +22,10 @@ def _words(text: Column) -> Column:
 def looks_like_drawing_label(text: Column) -> Column:
     """Callouts and labels: few short lines, mostly capitals, or mostly single letters, and no sign of code."""
     lines, words = _lines(text), _words(text)
-    code = text.rlike(r"[{};]|::|->|=>|</?\w+>|\b(def|class|function|return|import|include|const|var|let|void)\b")
+    code = text.rlike(rules.LABEL_CODE)
     short = F.forall(lines, lambda x: F.length(x) <= 48)
     letters = lambda x: F.regexp_replace(x, "[^A-Za-z]", "")
-    caps = F.filter(lines, lambda x: (letters(x) != "") & (((letters(x) == F.upper(letters(x))) & (F.length(letters(x)) >= 2)) | x.rlike(r"^[A-Z0-9][A-Z0-9 \-_/]+$")))
+    caps = F.filter(lines, lambda x: (letters(x) != "") & (((letters(x) == F.upper(letters(x))) & (F.length(letters(x)) >= 2)) | x.rlike(rules.LABEL_CAPITALS)))
     mostly_caps = (F.size(caps) >= F.greatest(F.lit(1.0), F.size(lines) * 0.6)) & (F.length(text) < 200)
     single = F.size(F.filter(words, lambda w: F.length(w) == 1))
     scattered = (F.size(words) > 0) & (F.length(text) < 60) & (single / F.greatest(F.size(words), F.lit(1)) >= 0.5)
@@ -39,16 +39,8 @@ def code_score(text: Column, mono: Column) -> Column:
     indented = F.size(F.filter(lines, lambda x: x.startswith(" ") | x.startswith("\t")))
     signs = F.length(F.regexp_replace(text, r"(?U)[\p{L}\p{N}\s]", ""))
     point = lambda c, p: F.when(c, p).otherwise(0)
-    score = (
-        point(text.rlike(r"[{};]"), 2)
-        + point(text.rlike(r"::|->|=>"), 2)
-        + point(text.rlike(r"\b(def|class|function|return|import|from|const|var|let|void|int|float|public|private|package)\b"), 2)
-        + point(text.rlike(r"[=<>]=|&&|\|\||<<|>>"), 1)
-        + point(text.rlike(r"(?m)^\s*#include\b|^\s*using\s+namespace\b"), 2)
-        + point(text.rlike(r"</?[A-Za-z][^>]*>"), 1)
-        + point((k >= 3) & (indented >= 2), 1)
-        + point((n > 20) & (signs / F.greatest(n, F.lit(1)) > 0.18), 1)
-    )
+    score = sum(point(text.rlike(p), n_points) for p, n_points in rules.CODE_POINTS)
+    score = score + point((k >= 3) & (indented >= 2), 1) + point((n > 20) & (signs / F.greatest(n, F.lit(1)) > 0.18), 1)
     return score + F.when(mono & (k >= 4) & (n >= 40), 1).when(mono & (k >= 2) & (score >= 1), 1).otherwise(0)
 
 
@@ -129,14 +121,14 @@ def layout_sections(spans: DataFrame, tables: DataFrame | None = None) -> DataFr
     return b.unionByName(t.where("trim(markdown) <> ''"))
 
 
-def heading_level(size: Column, page_size: Column, content: Column) -> Column:
-    ratio_ok = (size >= page_size * 1.4) & (F.length(content) < 200)
+def heading_level(size: Column, page_size: Column, n_chars: Column) -> Column:
+    ratio_ok = (size >= page_size * 1.4) & (n_chars < 200)
     return F.when(ratio_ok & (size >= page_size * 1.8), 1).when(ratio_ok & (size >= page_size * 1.6), 2).when(ratio_ok, 3)
 
 
 def classify_blocks(blocks: DataFrame) -> DataFrame:
     c, mono = F.col("content"), F.col("mono")
-    level = heading_level(F.col("size"), F.col("page_size"), c)
+    level = heading_level(F.col("size"), F.col("page_size"), F.length(c))
     code = looks_like_code(c, mono) & (mono | (F.col("n_lines") >= 2))
     kind = F.when(level.isNotNull(), "heading").when(code, "code").when(looks_like_drawing_label(c) & mono, "paragraph").when(is_math(c), "math").otherwise("paragraph")
     return blocks.withColumn("level", level).withColumn("type", kind).withColumn("markdown", block_markdown(F.col("type"), F.col("level"), c))
@@ -215,12 +207,7 @@ def ocr_paragraphs(docs: DataFrame, text: str = "ocr_text") -> DataFrame:
 def ocr_code(text: Column) -> Column:
     """Weighted signs of code over the lines reach 0.4 for each line plus 2."""
     lines = F.split(text, "\n", -1)
-    points = lambda x: (
-        F.when(x.rlike(r"^\s*(def |class |import |from |if __name__)"), 3).otherwise(0)
-        + F.when(x.rlike(r"^\s*(function |var |const |let |=>)"), 2).otherwise(0)
-        + F.when(x.rlike(r"^\s*(#include |int main|void |public |private )"), 3).otherwise(0)
-        + F.when(x.rlike(r"[{};]\s*$"), 1).otherwise(0)
-    )
+    points = lambda x: sum(F.when(x.rlike(p), n).otherwise(0) for p, n in rules.OCR_CODE_POINTS)
     return F.aggregate(lines, F.lit(0), lambda acc, x: acc + points(x)) >= F.size(lines) * 0.4 + 2
 
 

@@ -347,7 +347,6 @@ QUERIES = {
     "md_table_offsets": lambda spark, d: ln.table_offsets(_lines(spark, d)),
     "md_table_dedupe": lambda spark, d: ln.dedupe_tables(docs(spark, d).select("doc_id", F.concat_ws("\n\n", "markdown", "markdown").alias("markdown"))).select("doc_id", F.md5("markdown").alias("digest")),
     "section_artifact_filter": section_artifact_filter,
-    "noise_section_flags": noise_section_flags,
     "whitespace_clean": _md5_of(lambda t: tx.clean_whitespace(F.concat(F.lit("  \n"), F.replace(t, F.lit(". "), F.lit(".  \n\n\n\n"))))),
     "math_detect": lambda spark, d: _sections(spark, d).where("content IS NOT NULL").select("doc_id", "seq", tx.is_math(F.when(F.col("seq") % 4 == 0, F.concat("content", F.lit(" \\frac{a}{b}"))).otherwise(F.col("content"))).alias("is_math")),
     "match_case": match_case,

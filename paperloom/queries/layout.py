@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from paperloom.functions import rules
 from paperloom.functions.text import strip
 from paperloom.operators import blocks as bl, tables as tb
-from paperloom.queries.document import like, s
+from paperloom.queries.document import like, noise_section_flags, s
 from paperloom.session import table
 
 
@@ -36,7 +36,7 @@ def heading_levels(spark, d):
     ink = F.when(strip(F.col("text")) != "", F.col("size"))
     b = x.groupBy("doc_id", "page", "block_no").agg(F.avg(ink).alias("size"), F.first("page_size").alias("page_size"), F.sum(F.length("text")).alias("n"))
     b = b.where("size IS NOT NULL")
-    return b.select("doc_id", "block_no", F.round("size", 4).alias("size"), F.round("page_size", 4).alias("page_size"), bl.heading_level(F.round("size", 4), F.round("page_size", 4), F.repeat(F.lit("x"), F.col("n").cast("int"))).alias("level"))
+    return b.select("doc_id", "block_no", F.round("size", 4).alias("size"), F.round("page_size", 4).alias("page_size"), bl.heading_level(F.round("size", 4), F.round("page_size", 4), F.col("n")).alias("level"))
 
 
 _HEAD = f"""WITH {SPANS}, p AS (SELECT doc_id, page, coalesce(avg(size) FILTER ({_INK}), 12.0) AS ps FROM spans GROUP BY ALL), b AS (SELECT doc_id, page, block_no, avg(size) FILTER ({_INK}) AS bs, sum(length(text)) AS n FROM spans GROUP BY ALL),
@@ -195,7 +195,7 @@ _OCR_GRID = f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS doc_id,
  w AS (SELECT doc_id, event_id AS word_no, text, (k % wide) * 100 AS x, (k // wide) * 40 + CASE WHEN k % 7 = 0 THEN 9 ELSE 0 END AS y FROM e2 WHERE trim(text) <> ''), {_RECUR}"""
 
 
-QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables, ocr_grid_tables)}
+QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables, ocr_grid_tables, noise_section_flags)}
 SQL = {
     "heading_levels": _HEAD,
     "mono_blocks": f"WITH {SPANS} SELECT doc_id, block_no, coalesce(avg(CASE WHEN {_MONO} THEN 1.0 ELSE 0.0 END) FILTER ({_INK}) >= 0.6, false) AS mono FROM spans GROUP BY doc_id, block_no",

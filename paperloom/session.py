@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -51,6 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_registered: list[bool] = []
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -63,14 +65,30 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/paperloom/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    if not _written:
+    if not _registered:
         atexit.register(_clean)
+        _registered.append(True)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables written inside are removed at the end of the block; for long drivers, such as streams."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[before:])
+        del _written[before:]
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    _remove(_written)
+
+
+def _remove(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in written:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

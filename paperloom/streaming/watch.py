@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.config import Config
 from paperloom.plans.pipeline import convert_files
+from paperloom.session import scratch
 from paperloom.sources.scan import file_type
 
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -21,7 +22,8 @@ def watch(spark: SparkSession, folder: str, output: str, checkpoint: str, config
     rows = files.select(F.col("path").alias("doc_id"), file_type(F.col("path")).alias("file_type"), "content").where(F.col("file_type").isin("docx", "pptx", "pdf", "image"))
 
     def convert(batch: DataFrame, number: int) -> None:
-        convert_files(batch, config).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        with scratch():
+            convert_files(batch, config).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     w = rows.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
