@@ -34,8 +34,10 @@ POPULATION = 12
 #: An epoch ends after so many children without a gain, the evolution after so many epochs.
 PATIENCE = 60
 STALLED = 2
-#: So many sizes are tried as the first of several items that fill a container.
-TRIES = 48
+#: So many sizes are tried as the first of three items that fill a container, and of two that are swapped in.
+TRIES_FILL, TRIES_SWAP = 6, 24
+#: So many patterns with room are tried for swaps in one crossover.
+SWAPPED = 32
 #: Items of one size are numbered in parts of about so many rows, and meet their places in blocks of so many numbers.
 PART, BLOCK = 20_000, 64
 #: So many targets are packed at once; more are worked off in blocks.
@@ -173,7 +175,7 @@ def _exact(gap: int, most: int, left: Counter, sizes: list[int], rng: random.Ran
     if found := two(gap, most):
         return found
     firsts = sizes[: bisect.bisect_right(sizes, min(most, gap - 2))]
-    for x in sorted(rng.sample(firsts, min(len(firsts), TRIES)), reverse=True):
+    for x in sorted(rng.sample(firsts, min(len(firsts), TRIES_FILL)), reverse=True):
         if left[x] > 0:
             left[x] -= 1
             rest = two(gap - x, x)
@@ -202,29 +204,40 @@ def filled_counts(supply: Counter, cap: int, start: Counter, order: list[int], r
     return best_fit_counts(+left, cap, out)
 
 
-def improved_counts(bins: Counter, left: Counter, cap: int) -> tuple[Counter, Counter]:
+def improved_counts(bins: Counter, left: Counter, cap: int, rng: random.Random | None = None) -> tuple[Counter, Counter]:
     """Containers with room made fuller by swaps with displaced items: one or two for one or two.
 
     What comes out is smaller than what goes in, so that best fit places it
-    more easily.  Returns the containers and what is left over.
+    more easily.  Some patterns with room are tried, picked by ``rng``.
+    Returns the containers and what is left over.
     """
-    out, left = Counter(), Counter(left)
-    for p, n in sorted(bins.items(), key=lambda x: (-held(x[0]), x[0])):
-        room = cap - held(p)
+    out, left = Counter(bins), Counter(left)
+    roomy = sorted(p for p in bins if held(p) < cap)
+    if rng is not None and len(roomy) > SWAPPED:
+        roomy = rng.sample(roomy, SWAPPED)
+    sizes = sorted(s for s in left if left[s] > 0)
+    for p in roomy:
+        n, room = out[p], cap - held(p)
         items = [s for s, k in p for _ in range(min(k, 2))]
-        while n and room:
-            sizes = sorted(s for s in left if left[s] > 0)
+        outs = sorted({(x,) for x in items} | {tuple(sorted(x)) for x in itertools.combinations(items, 2)})
+        while n and sizes:
             best = None
-            for gone in {(x,) for x in items} | {tuple(sorted(x)) for x in itertools.combinations(items, 2)}:
+            for gone in outs:
                 w = sum(gone)
                 # one item, then two, that come closest to the room from below
                 i = bisect.bisect_right(sizes, w + room) - 1
                 if i >= 0 and sizes[i] > w and (best is None or sizes[i] - w > best[0]):
                     best = (sizes[i] - w, gone, (sizes[i],))
-                for x in sizes[-TRIES:] if len(gone) == 2 or room > w else ():
-                    j = bisect.bisect_right(sizes, w + room - x) - 1
-                    if j >= 0 and sizes[j] + x > w and left[sizes[j]] > (sizes[j] == x) and (best is None or sizes[j] + x - w > best[0]):
-                        best = (sizes[j] + x - w, gone, (x, sizes[j]))
+                # the larger of two is at least half of what they fill
+                for j in range(i, max(-1, i - TRIES_SWAP), -1):
+                    x = sizes[j]
+                    if 2 * x <= w:
+                        break
+                    k = bisect.bisect_right(sizes, w + room - x) - 1
+                    if k >= 0 and sizes[k] + x > w and left[sizes[k]] > (k == j) and (best is None or sizes[k] + x - w > best[0]):
+                        best = (sizes[k] + x - w, gone, (x, sizes[k]))
+                if best is not None and best[0] == room:
+                    break
             if best is None:
                 break
             _, gone, come = best
@@ -233,15 +246,18 @@ def improved_counts(bins: Counter, left: Counter, cap: int) -> tuple[Counter, Co
             q = Counter(dict(p))
             q.subtract(gone)
             q.update(come)
+            out[p] -= m
             out[tuple(sorted((+q).items(), reverse=True))] += m
-            for x in come:
-                left[x] -= m
+            for x in need:
+                left[x] -= need[x] * m
+                if not left[x]:
+                    sizes.pop(bisect.bisect_left(sizes, x))
             for x in gone:
+                if not left[x]:
+                    bisect.insort(sizes, x)
                 left[x] += m
             n -= m
-        if n:
-            out[p] += n
-    return out, +left
+    return +out, +left
 
 
 def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: random.Random) -> Counter:
@@ -265,9 +281,9 @@ def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: ran
     for p in rest:
         if held(p) == cap or rng.random() < 0.5:
             take(p, sum(rng.random() >= drop for _ in range(a[p])) if a[p] <= 50 else round(a[p] * (1 - drop)))
-    child, left = improved_counts(child, +left, cap)
+    child, left = improved_counts(child, +left, cap, rng)
     order = sorted(left, reverse=True) if rng.random() < 0.5 else _blurred(left, rng)
-    return filled_counts(left, cap, child, order, rng) if rng.random() < 0.5 else best_fit_counts(left, cap, child, order)
+    return filled_counts(left, cap, child, order, rng) if rng.random() < 0.25 else best_fit_counts(left, cap, child, order)
 
 
 def evolve_counts(supply: Counter, cap: int, start: list[Counter], seed: int) -> Counter:
