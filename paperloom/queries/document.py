@@ -326,6 +326,27 @@ _FINAL = f"""WITH {DOCS}, a AS (SELECT doc_id, replace(replace(replace(replace(m
 _ESCAPED = f"""WITH {DOCS}, e AS (SELECT doc_id, markdown, regexp_replace(regexp_replace(markdown, '([#|])', '\\\\\\1', 'g'), '({_W})\\\\([#|])', '\\1\\2', 'g') AS t FROM docs) SELECT doc_id, md5(t) AS digest FROM e WHERE t <> markdown"""
 
 
+# Lines are folded in order: d what is finished, l the last line, o whether it may go on.
+_PROSE = f"length({s('x')}) >= 20 AND NOT regexp_matches({s('x')}, '^(?:#|\\||```|>|-|\\*|\\$\\$|\\d+[.)][\\s\\pZ]|(?i:table[\\s\\pZ]+\\d+|figure[\\s\\pZ]+\\d+|rev\\.[\\s\\pZ]*[A-Z][\\s\\pZ]*\\|))')"
+_left = lambda x: f"regexp_replace({x}, '^{_WS}', '')"
+_right = lambda x: f"regexp_replace({x}, '{_WS}$', '')"
+_JOINS = f"a.o AND b.o AND NOT (length(a.l) > 120 AND right(a.l, 1) IN ('.', '!', '?') AND regexp_matches({_left('b.l')}, '^\\p{{Lu}}'))"
+_GLUED = f"a.l || CASE WHEN a.l LIKE '%-' THEN '' ELSE ' ' END || {_left('b.l')}"
+_REFLOW = f"""WITH {DOCS}, f AS (SELECT doc_id, markdown, list_transform(string_split(markdown, chr(10)), lambda x: {{'d': '', 'l': x, 'o': {_PROSE}}}) AS ls FROM docs),
+ g AS (SELECT doc_id, markdown, list_transform(ls, lambda b: {{'d': '', 'l': CASE WHEN b.o THEN {_right('b.l')} ELSE b.l END, 'o': b.o}}) AS first, ls FROM f),
+ r AS (SELECT doc_id, markdown, list_reduce(list_prepend(first[1], ls[2:]), lambda a, b: CASE WHEN {_JOINS} THEN {{'d': a.d, 'l': {_GLUED}, 'o': length({_GLUED}) <= 2000}}
+  ELSE {{'d': a.d || a.l || chr(10), 'l': CASE WHEN b.o THEN {_right('b.l')} ELSE b.l END, 'o': b.o}} END) AS z FROM g)
+ SELECT doc_id, md5(z.d || z.l) AS digest FROM r WHERE z.d || z.l <> markdown"""
+# Neighbouring bold spans merge in pairs; seven rounds are more than any chain of the input needs.
+# The word boundary of the one engine knows all letters.  Blanks and line feeds are doubled, so that each find has its own on both sides.
+_BOLD = "replace(replace(markdown, ' ', '  '), chr(10), chr(10) || chr(10))"
+_BOLD = f"regexp_replace({_BOLD}, '(^|[^\\pL\\pM\\p{{Nd}}_])([a-z]+ing)  ([a-z]+)($|[^\\pL\\pM\\p{{Nd}}_])', '\\1**\\2**  **\\3**\\4', 'g')"
+_BOLD = f"replace(replace({_BOLD}, '  ', ' '), chr(10) || chr(10), chr(10))"
+for _ in range(7):
+    _BOLD = f"regexp_replace({_BOLD}, '\\*\\*([^*]+?)\\*\\*({_WS})\\*\\*([^*]+?)\\*\\*', '**\\1\\2\\3**', 'g')"
+_BOLD = f"WITH {DOCS}, x AS (SELECT doc_id, markdown, regexp_replace({_BOLD}, '\\*\\*([,.;:]+)\\*\\*', '\\1', 'g') AS t FROM docs) SELECT doc_id, md5(t) AS digest FROM x WHERE t <> markdown"
+
+
 def lines_digest(f) -> callable:
     return lambda spark, d: _digest(f(_lines(spark, d)))
 
@@ -413,6 +434,8 @@ SQL = {
     "final_cleanup": _FINAL,
     "escape_markdown": _ESCAPED,
     "chunk_paragraph": _PARAGRAPHS,
+    "reflow": _REFLOW,
+    "bold_defragment": _BOLD,
     "spaced_words_joined": f"SELECT doc_id, md5({_JOINED} || chr(10) || m) AS digest FROM (SELECT DISTINCT doc_id, markdown AS m FROM conversion_results WHERE markdown IS NOT NULL)",
     "human_size": "SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT doc_id, CAST(n_chars * n_chars AS DOUBLE) AS n FROM documents)",
     "chunk_fixed": _CHUNK,

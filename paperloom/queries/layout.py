@@ -145,6 +145,21 @@ def code_score(spark, d):
 _CODE = f"WITH {_SEC}, x AS (SELECT doc_id, seq, {s('content')} AS t FROM sec), y AS (SELECT doc_id, seq, t, CAST({_score('t')} AS INT) AS score FROM x) SELECT doc_id, seq, score, t <> '' AND NOT {_label('t')} AND score >= 3 AS code FROM y"
 
 
+# Blocks of a page by size, then code, drawing label, mathematics; spans keep their text in blocks of a fixed-width font.
+_LETTERS = "length(regexp_replace(c, '[^\\pL]', '', 'g'))"
+_KLINES = f"len(list_filter(string_split_regex(c, '\\n|\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {s('l')} <> ''))"
+_BLOCKS = f"""WITH {SPANS}, p AS (SELECT doc_id, page, coalesce(avg(size) FILTER ({_INK}), 12.0) AS ps FROM spans GROUP BY ALL),
+ b AS (SELECT doc_id, page, block_no, avg(size) FILTER ({_INK}) AS bs, count(DISTINCT line_no) AS n_lines, coalesce(avg(CASE WHEN {_MONO} THEN 1.0 ELSE 0.0 END) FILTER ({_INK}) >= 0.6, false) AS mono FROM spans GROUP BY ALL),
+ m AS (SELECT spans.*, mono, CASE WHEN mono OR NOT ({_INK}) THEN text WHEN {_MONO} THEN '`' || text || '`' WHEN flags = 3 THEN '***' || text || '***' WHEN flags = 2 THEN '**' || text || '**' WHEN flags = 1 THEN '*' || text || '*' ELSE text END AS md FROM spans JOIN b USING (doc_id, page, block_no)),
+ l AS (SELECT doc_id, page, block_no, line_no, string_agg(md, '' ORDER BY span_no) AS line FROM m GROUP BY ALL),
+ c AS (SELECT doc_id, page, block_no, {s("string_agg(line, chr(10) ORDER BY line_no)")} AS c FROM l GROUP BY ALL),
+ f AS (SELECT c.*, n_lines, mono, coalesce(bs, ps) AS bs, ps, {_label('c')} AS label, {_score('c')} AS base, {_KLINES} AS k FROM c JOIN b USING (doc_id, page, block_no) JOIN p USING (doc_id, page) WHERE c <> ''),
+ g AS (SELECT *, base + CASE WHEN mono AND k >= 4 AND length(c) >= 40 THEN 1 WHEN mono AND k >= 2 AND base >= 1 THEN 1 ELSE 0 END AS score, CASE WHEN bs < ps * 1.4 OR length(c) >= 200 THEN NULL WHEN bs >= ps * 1.8 THEN 1 WHEN bs >= ps * 1.6 THEN 2 ELSE 3 END AS level FROM f),
+ h AS (SELECT *, CASE WHEN level IS NOT NULL THEN 'heading' WHEN NOT label AND NOT (mono AND k <= 2 AND score < 2 AND {_LETTERS}::DOUBLE / greatest(length(c), 1) > 0.7) AND score >= CASE WHEN mono THEN 2 ELSE 3 END AND (mono OR n_lines >= 2) THEN 'code'
+  WHEN label AND mono THEN 'paragraph' WHEN {like('c', rules.MATH, False)} THEN 'math' ELSE 'paragraph' END AS type FROM g)
+ SELECT doc_id, page, block_no, type, CAST(level AS INT) AS level, md5(CASE type WHEN 'heading' THEN repeat('#', level) || ' ' || c WHEN 'code' THEN '```' || chr(10) || c || chr(10) || '```' WHEN 'math' THEN CASE WHEN contains(c, chr(10)) THEN '$$' || chr(10) || c || chr(10) || '$$' ELSE '$' || c || '$' END ELSE c END) AS digest FROM h"""
+
+
 def ocr_paragraph_type(spark, d):
     x = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("ocr_text"))
     return bl.ocr_paragraphs(x).select("doc_id", "seq", "type", "level", F.md5("markdown").alias("digest"))
@@ -205,6 +220,7 @@ SQL = {
     "pptx_outline": _PPTX,
     "drawing_label": f"WITH {_SEC}, x AS (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE content END AS t FROM sec) SELECT doc_id, seq, {_label('t')} AS label FROM x",
     "code_score": _CODE,
+    "page_blocks": _BLOCKS,
     "ocr_paragraph_type": _OCR,
     "ocr_rows": _OCR_ROWS,
     "ocr_tables": _OCR_TABLES,

@@ -260,6 +260,14 @@ def _repaired(spark, d):
     return r.select(*KEY, F.md5(F.to_json(tb.repair_cells(F.col("matrix")))).alias("digest"))
 
 
+# Tables of a document in their order: one is kept if it is the same as none kept before it.
+_DEDUPED = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, table_no) AS k FROM (SELECT DISTINCT doc_id, page, table_no, headers, rows FROM extracted_tables)),
+ g AS (SELECT *, {_SIG.replace('{r}', 'coalesce(rows, [])')} AS sg, {_LOW.replace('{h}', 'coalesce(headers, [])')} AS lo FROM t),
+ dup AS (SELECT b.doc_id, b.k, list(a.k) AS before FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.k < b.k WHERE (a.lo = b.lo OR list_filter(a.lo, lambda x: x <> '') = list_filter(b.lo, lambda x: x <> ''))
+  AND CASE WHEN len(a.sg) = 0 OR len(b.sg) = 0 THEN len(a.sg) = 0 AND len(b.sg) = 0 ELSE len(list_intersect(a.sg, b.sg)) >= 0.85 * len(list_distinct(list_concat(a.sg, b.sg))) END GROUP BY ALL),
+ n AS (SELECT g.doc_id, g.k, page, table_no, coalesce(before, []) AS before FROM g LEFT JOIN dup USING (doc_id, k)),
+ f AS (SELECT doc_id, k, [k] AS kept FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.k, CASE WHEN len(list_intersect(kept, before)) = 0 THEN list_append(kept, n.k) ELSE kept END FROM f JOIN n ON n.doc_id = f.doc_id AND n.k = f.k + 1)
+ SELECT doc_id, page, table_no FROM f JOIN n USING (doc_id, k) WHERE list_contains(kept, k)"""
 # The most frequent number of lines of a row's cells, the first of equals, decides into how many rows it goes.
 _EXPANDED = f"""WITH {RAW}, k AS (SELECT doc_id, page, table_no, row_no, length(cell) - length(replace(cell, chr(10), '')) + 1 AS n, col_no FROM c WHERE row_no > 0 AND {_S} <> ''),
  g AS (SELECT doc_id, page, table_no, row_no, n, count(*) AS cells, min(col_no) AS first_col FROM k GROUP BY ALL), m AS (SELECT doc_id, page, table_no, row_no, arg_max(n, cells * 1000 - first_col) AS common FROM g GROUP BY ALL),
@@ -333,6 +341,7 @@ SQL = {
     "table_to_markdown": _MD,
     "table_to_json": _JSON,
     "multiline_expand": _EXPANDED,
+    "table_dedupe_list": _DEDUPED,
     "cell_repair": f"WITH {RAW} SELECT doc_id, page, table_no, md5(CAST(to_json(list_transform(matrix, lambda r: list_transform(coalesce(r, []), lambda c: {_REPAIR}))) AS VARCHAR)) AS digest FROM raw",
     "cells_repaired": _CELLS_REPAIRED,
 }
