@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 from paperloom.config import Config
 from paperloom.functions import rules
 from paperloom.plans.pipeline import convert_files
-from paperloom.sinks.files import output_path, save
+from paperloom.sinks.files import output_path, save, summary_line
 from paperloom.sources.scan import scan
 
 
@@ -40,7 +40,10 @@ def main(argv: list[str] | None = None) -> int:
     done = convert_files(scan(spark, folder, a.recursive, name), config).persist()
     save(done.where("status = 'ok'").select(output_path(F.col("doc_id")).alias("path"), "markdown", "structured", "images"), a.output)
     by = {r["status"]: r for r in done.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("markdown")).alias("chars")).collect()}
-    for r in done.where("status = 'failed'").select("doc_id", "error").toLocalIterator():
+    counts = F.from_json(F.get_json_object("structured", "$.stats"), "total_sections int, headings int, paragraphs int")
+    for r in done.where("status = 'ok'").select("doc_id", summary_line(counts).alias("line")).orderBy("doc_id").toLocalIterator():
+        print(f"{r['doc_id']}: {r['line']}")
+    for r in done.where("status = 'failed'").select("doc_id", "error").orderBy("doc_id").toLocalIterator():
         print(f"{r['doc_id']}: {r['error']}")
     ok, failed = (by[s]["n"] if s in by else 0 for s in ("ok", "failed"))
     print(f"{ok} converted, {failed} failed, {by['ok']['chars'] if ok else 0} characters of Markdown")

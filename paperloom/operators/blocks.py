@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import rules
 from paperloom.functions.text import is_math, strip
-from paperloom.operators.tables import table_markdown
+from paperloom.operators.tables import in_reading_order, table_markdown
 
 _LINES = r"\n|\r\n?|[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -114,9 +114,8 @@ def layout_sections(spans: DataFrame, tables: DataFrame | None = None) -> DataFr
         none("array<string>").alias("headers"), none("array<array<string>>").alias("rows"), none("string").alias("source"), none("double").alias("score"), "markdown")
     if tables is None:
         return b
-    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(F.coalesce(F.col("bbox.y0"), F.lit(0.0)), "table_no"))
-    t = tables.select(
-        "doc_id", F.col("page").alias("part_no"), (1_000_000 + place).cast("int").alias("para_no"), F.lit("table").alias("type"), none("int").alias("level"), none("string").alias("content"),
+    t = in_reading_order(tables).select(
+        "doc_id", F.col("page").alias("part_no"), (1_000_000 + F.col("place")).cast("int").alias("para_no"), F.lit("table").alias("type"), none("int").alias("level"), none("string").alias("content"),
         none("string").alias("prefix"), "headers", "rows", "source", "score", table_markdown(F.col("headers"), F.col("rows")).alias("markdown"))
     return b.unionByName(t.where("trim(markdown) <> ''"))
 

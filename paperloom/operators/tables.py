@@ -403,7 +403,9 @@ def merge_extractors(tables: DataFrame) -> DataFrame:
 
 
 def in_reading_order(tables: DataFrame) -> DataFrame:
-    return tables.orderBy("doc_id", "page", F.coalesce(F.col("bbox.y0"), F.lit(0.0)), "table_no")
+    """``tables`` with ``place``, their number in their document from 1: by page, then from the top; no place counts as the top."""
+    order = Window.partitionBy("doc_id").orderBy("page", F.coalesce(F.col("bbox.y0"), F.lit(0.0)), "table_no")
+    return tables.withColumn("place", F.row_number().over(order))
 
 
 def _cell_text(c: Column) -> Column:

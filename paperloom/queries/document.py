@@ -253,6 +253,12 @@ _STATS = """SELECT doc_id, count(*) AS total_sections, count(*) FILTER (type = '
  count(*) FILTER (type = 'code') AS code_blocks, count(*) FILTER (type = 'math') AS math_blocks FROM (SELECT DISTINCT * FROM sections) GROUP BY doc_id"""
 
 
+def summary_lines(spark, d):
+    from paperloom.sinks.files import summary_line
+
+    return section_stats(spark, d).select("doc_id", summary_line(F.struct("total_sections", "headings", "paragraphs")).alias("summary"))
+
+
 def merged_paragraphs(spark, d):
     x = blocks.merge_paragraphs(_sections(spark, d))
     return x.select("doc_id", "seq", "type", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
@@ -275,6 +281,31 @@ _COMBINED = """SELECT batch, CAST(length(m) AS BIGINT) AS n_chars, md5(m) AS dig
  FROM (SELECT DISTINCT coalesce(metadata.file_type, 'unknown') AS batch, doc_id, markdown FROM conversion_results WHERE markdown IS NOT NULL) GROUP BY batch)"""
 
 
+def combined_json(spark, d):
+    """All files of a type as one JSON object, with a small object for each; its length and digest."""
+    from paperloom.sinks import files
+
+    x = table(spark, d, "conversion_results").where("markdown IS NOT NULL").select(F.coalesce("metadata.file_type", F.lit("unknown")).alias("batch"), "doc_id", F.concat("doc_id", F.lit('"\\')).alias("stem"), "markdown").distinct()
+    x = x.withColumn("structured", F.to_json(F.struct(F.length("markdown").alias("n"), F.md5("markdown").alias("digest"))))
+    return files.combined_json(x, "batch").select("batch", F.length("json").cast("bigint").alias("n_chars"), F.md5("json").alias("digest"))
+
+
+_COMBINED_JSON = """SELECT batch, CAST(length(j) AS BIGINT) AS n_chars, md5(j) AS digest FROM (SELECT batch, '{"batch":true,"files":{' || string_agg('"' || doc_id || '\\"\\\\":{"n":' || length(markdown) || ',"digest":"' || md5(markdown) || '"}', ',' ORDER BY doc_id) || '}}' AS j
+ FROM (SELECT DISTINCT coalesce(metadata.file_type, 'unknown') AS batch, doc_id, markdown FROM conversion_results WHERE markdown IS NOT NULL) GROUP BY batch)"""
+
+
+def enhancement_flags(spark, d):
+    """Whether anything in a text suggests that a model could help."""
+    from paperloom import enhance
+
+    t = F.when(F.length("markdown") % 3 == 0, F.regexp_replace("markdown", "[_^\\t|]|[^\\x00-\\x7F]", "")).otherwise(F.col("markdown"))
+    return docs(spark, d).select("doc_id", enhance.needs_enhancement(t).alias("flag"))
+
+
+_FLAGS = f"""WITH {DOCS}, x AS (SELECT doc_id, CASE WHEN length(markdown) % 3 = 0 THEN regexp_replace(markdown, '[_^\\t|]|[^\\x00-\\x7F]', '', 'g') ELSE markdown END AS t FROM docs), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM x)
+ SELECT doc_id, regexp_matches(t, '([^\\s]\\t){{2,}}|[a-zA-Z]\\^[0-9]|[a-zA-Z]_[0-9]|[^\\x00-\\x7F]{{3,}}') OR len(list_filter(range(1, len(ls)), lambda i: regexp_matches(ls[i], '\\|.*\\|') AND NOT (regexp_matches(ls[i + 1], '^\\|[-\\s:|]') OR (ls[i + 1] = '|' AND i + 1 < len(ls))))) > 0 AS flag FROM l"""
+
+
 def chunk_fixed(spark, d):
     x = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
     return chunking.fixed_chunks(x, "text", 1000, 100).select("doc_id", "chunk_no", "start", F.md5("chunk").alias("digest"))
@@ -342,9 +373,16 @@ _REFLOW = f"""WITH {DOCS}, f AS (SELECT doc_id, markdown, list_transform(string_
 _BOLD = "replace(replace(markdown, ' ', '  '), chr(10), chr(10) || chr(10))"
 _BOLD = f"regexp_replace({_BOLD}, '(^|[^\\pL\\pM\\p{{Nd}}_])([a-z]+ing)  ([a-z]+)($|[^\\pL\\pM\\p{{Nd}}_])', '\\1**\\2**  **\\3**\\4', 'g')"
 _BOLD = f"replace(replace({_BOLD}, '  ', ' '), chr(10) || chr(10), chr(10))"
-for _ in range(7):
-    _BOLD = f"regexp_replace({_BOLD}, '\\*\\*([^*]+?)\\*\\*({_WS})\\*\\*([^*]+?)\\*\\*', '**\\1\\2\\3**', 'g')"
-_BOLD = f"WITH {DOCS}, x AS (SELECT doc_id, markdown, regexp_replace({_BOLD}, '\\*\\*([,.;:]+)\\*\\*', '\\1', 'g') AS t FROM docs) SELECT doc_id, md5(t) AS digest FROM x WHERE t <> markdown"
+
+
+def bold_merged(x: str, rounds: int = 7) -> str:
+    """SQL for a text with neighbouring bold spans merged."""
+    for _ in range(rounds):
+        x = f"regexp_replace({x}, '\\*\\*([^*]+?)\\*\\*({_WS})\\*\\*([^*]+?)\\*\\*', '**\\1\\2\\3**', 'g')"
+    return f"regexp_replace({x}, '\\*\\*([,.;:]+)\\*\\*', '\\1', 'g')"
+
+
+_BOLD = f"WITH {DOCS}, x AS (SELECT doc_id, markdown, {bold_merged(_BOLD)} AS t FROM docs) SELECT doc_id, md5(t) AS digest FROM x WHERE t <> markdown"
 
 
 def lines_digest(f) -> callable:
@@ -381,7 +419,10 @@ QUERIES = {
     "batch_summary": batch_summary,
     "section_stats": section_stats,
     "merged_paragraphs": merged_paragraphs,
+    "summary_lines": summary_lines,
     "combined_markdown": combined_markdown,
+    "combined_json": combined_json,
+    "enhancement_flags": enhancement_flags,
     "truncate_text": _md5_of(lambda t: tx.truncate(t, 2000)),
     "strip_model_fence": _md5_of(lambda t: tx.strip_model_fence(F.concat(F.lit("```\n"), t, F.lit("\n```")))),
     "final_cleanup": _md5_of(tx.final_cleanup),
@@ -428,7 +469,10 @@ SQL = {
     "batch_summary": _BATCH,
     "section_stats": _STATS,
     "merged_paragraphs": _MERGED,
+    "summary_lines": f"SELECT doc_id, 'Total Sections: ' || total_sections || ' · Headings: ' || headings || ' · Paragraphs: ' || paragraphs AS summary FROM ({_STATS})",
     "combined_markdown": _COMBINED,
+    "combined_json": _COMBINED_JSON,
+    "enhancement_flags": _FLAGS,
     "truncate_text": f"WITH {DOCS} SELECT doc_id, md5(CASE WHEN length(markdown) > 2000 THEN left(markdown, 2000) || chr(10) || chr(10) || '... [TRUNCATED due to length] ...' ELSE markdown END) AS digest FROM docs",
     "strip_model_fence": f"WITH {DOCS} SELECT doc_id, md5(regexp_replace(regexp_replace({s('t')}, '^```\\n?', ''), '\\n?```$', '')) AS digest FROM (SELECT doc_id, '```' || chr(10) || markdown || chr(10) || '```' AS t FROM docs)",
     "final_cleanup": _FINAL,

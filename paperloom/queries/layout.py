@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from paperloom.functions import rules
 from paperloom.functions.text import strip
 from paperloom.operators import blocks as bl, tables as tb
-from paperloom.queries.document import like, noise_section_flags, s
+from paperloom.queries.document import bold_merged, like, noise_section_flags, s
 from paperloom.session import table
 
 
@@ -129,6 +129,23 @@ _NOISE = f"""WITH sec AS (SELECT DISTINCT * FROM sections WHERE type IN ('code',
  SELECT doc_id, seq, type, CASE WHEN type = 'code' THEN label OR (n < 15 AND alnum::DOUBLE / greatest(n, 1) < 0.5) OR (n < 40 AND {_ONES}) OR (n > 0 AND signs::DOUBLE / greatest(n, 1) > 0.6 AND n < 100) ELSE label AND {_ONES} END AS noise FROM y"""
 
 
+def cleaned_sections(spark, d):
+    """The sections of all files through the cleaning of a conversion without tables and word repair."""
+    from paperloom.config import Config
+    from paperloom.plans.pipeline import clean_sections
+
+    x = table(spark, d, "sections").distinct()
+    done = clean_sections(x, Config(extract_tables=False, fix_lost_letters=False, fix_misread_words=False))
+    return done.select("doc_id", "seq", "type", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
+
+
+_CLEANED = f"""WITH noisy AS ({_NOISE.replace('WITH sec AS', 'WITH sec0 AS').replace('FROM sec)', 'FROM sec0)')}), s AS (SELECT DISTINCT * FROM sections),
+ k AS (SELECT s.doc_id, s.seq, s.type, CASE WHEN s.type IN ('paragraph', 'heading') THEN array_to_string(list_filter(string_split({bold_merged('content')}, chr(10)), lambda line: NOT {like(s('line'), rules.CHROME)}), chr(10)) ELSE content END AS c
+  FROM s LEFT JOIN noisy n ON n.doc_id = s.doc_id AND n.seq = s.seq AND n.type = s.type WHERE (s.type IS NULL OR s.type <> 'table') AND NOT coalesce(noise, false))
+ SELECT DISTINCT doc_id, seq, type, md5(coalesce(c, '')) AS digest FROM k WHERE NOT coalesce(type IN ('paragraph', 'heading') AND length({s('c')}) < 2, false)
+  AND NOT coalesce(type = 'paragraph' AND ({s("coalesce(c, '')")} = '' OR regexp_matches({s('c')}, '^\\pN+$') OR regexp_matches({s('c')}, '^(draft|confidential|watermark)$', 'i')), false)"""
+
+
 def _score(x: str) -> str:
     lines = f"list_filter(string_split_regex({x}, '\\n|\\r\\n?|[\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: {s('l')} <> '')"
     m = lambda p, k: f"CASE WHEN regexp_matches({x}, '{p}') THEN {k} ELSE 0 END"
@@ -210,7 +227,7 @@ _OCR_GRID = f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS doc_id,
  w AS (SELECT doc_id, event_id AS word_no, text, (k % wide) * 100 AS x, (k // wide) * 40 + CASE WHEN k % 7 = 0 THEN 9 ELSE 0 END AS y FROM e2 WHERE trim(text) <> ''), {_RECUR}"""
 
 
-QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables, ocr_grid_tables, noise_section_flags)}
+QUERIES = {f.__name__: f for f in (heading_levels, mono_blocks, span_markdown, page_blocks, docx_paragraph_type, list_prefix, pptx_outline, drawing_label, code_score, ocr_paragraph_type, ocr_rows, ocr_tables, ocr_grid_tables, noise_section_flags, cleaned_sections)}
 SQL = {
     "heading_levels": _HEAD,
     "mono_blocks": f"WITH {SPANS} SELECT doc_id, block_no, coalesce(avg(CASE WHEN {_MONO} THEN 1.0 ELSE 0.0 END) FILTER ({_INK}) >= 0.6, false) AS mono FROM spans GROUP BY doc_id, block_no",
@@ -226,4 +243,5 @@ SQL = {
     "ocr_tables": _OCR_TABLES,
     "ocr_grid_tables": _OCR_GRID,
     "noise_section_flags": _NOISE,
+    "cleaned_sections": _CLEANED,
 }

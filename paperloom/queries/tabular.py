@@ -151,6 +151,10 @@ _OVERLAP = f"""WITH {_PAIRS}, g AS (SELECT *, {_WORDSET.replace('{h}', 'ha')} AS
  SELECT doc_id, table_a, table_b, CAST(round(CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 ELSE len(list_intersect(wa, wb))::DOUBLE / greatest(len(wa), len(wb)) END, 6) AS DOUBLE) AS overlap FROM g"""
 
 
+def table_reading_order(spark, d):
+    return tb.in_reading_order(_tables(spark, d).select(*KEY, "bbox")).select(*KEY, "place")
+
+
 def page_table_pairs(spark, d):
     """Each two tables of a page: whether their places overlap, whether they are one table, and by which words."""
     t = _tables(spark, d).select(*KEY, "headers", "rows", "bbox")
@@ -306,6 +310,7 @@ QUERIES = {
     "table_dup_pairs": _dup_pairs,
     "header_word_overlap": _overlap,
     "page_table_pairs": page_table_pairs,
+    "table_reading_order": table_reading_order,
     "best_table_per_document": _best,
     "uncovered_page_fallback": _uncovered,
     "top_tables": _top,
@@ -335,6 +340,7 @@ SQL = {
     "table_dup_pairs": _DUP,
     "header_word_overlap": _OVERLAP,
     "page_table_pairs": _PAGE_PAIRS,
+    "table_reading_order": f"SELECT doc_id, page, table_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, coalesce(bbox.y0, 0.0), table_no) AS INT) AS place FROM (SELECT DISTINCT {_K}, bbox FROM extracted_tables)",
     "best_table_per_document": f"WITH {FACTS} SELECT doc_id, page, table_no, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, table_no) AS k FROM scored) WHERE k = 1 AND score >= 0",
     "uncovered_page_fallback": _UNCOVERED,
     "top_tables": f"WITH {FACTS} SELECT {_K}, score FROM (SELECT {_K}, CAST(round(score, 6) AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, page, table_no) AS k FROM scored) WHERE k <= 2",

@@ -21,10 +21,21 @@ def combined(results: DataFrame, batch: str, rule: str = "\n\n---\n\n") -> DataF
 
 
 def combined_json(results: DataFrame, batch: str) -> DataFrame:
-    """(batch, json): {"batch": true, "files": {stem: structured}}; the last of equal stems wins."""
-    last = results.groupBy(batch, "stem").agg(F.max_by("structured", "doc_id").alias("structured"))
-    files = F.map_from_entries(F.array_sort(F.collect_list(F.struct("stem", "structured"))))
-    return last.groupBy(batch).agg(F.to_json(F.struct(F.lit(True).alias("batch"), files.alias("files"))).alias("json"))
+    """(batch, json): {"batch":true,"files":{stem: structured}} in the order of stems; the last of equal stems, by doc_id, wins.
+
+    ``structured`` is JSON and stands in the result as it is, a null one as null.
+    """
+    last = results.groupBy(batch, "stem").agg(F.max_by(F.struct("structured"), "doc_id").alias("s"))
+    name = F.to_json(F.array("stem"))
+    one = F.concat(F.expr("substring(k, 2, length(k) - 2)"), F.lit(":"), F.coalesce("s.structured", F.lit("null")))
+    files = F.transform(F.array_sort(F.collect_list(F.struct("stem", one.alias("t")))), lambda x: x["t"])
+    return last.withColumn("k", name).groupBy(batch).agg(F.concat(F.lit('{"batch":true,"files":{'), F.array_join(files, ","), F.lit("}}")).alias("json"))
+
+
+def summary_line(stats: Column) -> Column:
+    """The first three numbers of a result's statistics, as one line."""
+    names = ("total_sections", "headings", "paragraphs")
+    return F.concat_ws(" · ", *[F.concat(F.lit(n.replace("_", " ").title() + ": "), stats[n].cast("string")) for n in names])
 
 
 def output_path(rel_path: Column, keep_suffix: bool = True) -> Column:
