@@ -118,9 +118,15 @@ def _answer(p: Provider, task: str, text: str) -> str:
 
 
 def enhanced(p: Provider, text: str) -> str:
-    """Tables one by one, from the last to the first, then formulas and code of the whole."""
+    """The text improved, or as it was with a note on what failed."""
+    better, error = tried(p, text)
+    return better if error is None else f"{better}\n\n<!-- enhancement failed: {error} -->"
+
+
+def tried(p: Provider, text: str) -> tuple[str, str | None]:
+    """(text, error): tables one by one, from the last to the first, then formulas and code of the whole."""
     if not text or not text.strip():
-        return text
+        return text, None
     try:
         lines, at, tables = text.split("\n"), 0, []
         for line in lines:
@@ -141,18 +147,25 @@ def enhanced(p: Provider, text: str) -> str:
             # parts do not overlap in the result: each is asked about on its own
             parts = [text] if len(text) <= LONG else [c for _, c in chunk(text, PART, 0)]
             text = "".join(_answer(p, task, c) + ("\n\n" if c.endswith("\n\n") and len(parts) > 1 else "") for c in parts)
-        return text
-    except Exception as e:  # noqa: BLE001
-        return f"{text}\n\n<!-- enhancement failed: {e} -->"
+        return text, None
+    except Exception as e:  # noqa: BLE001 - a model that fails must not end the batch
+        return text, str(e)
 
 
 def enhance(results: DataFrame, p: Provider, text: str = "markdown") -> DataFrame:
-    """``results`` with its text improved; all other columns as they are."""
+    """``results`` with its text improved, and ``enhance_error``: what failed, or null; all other columns as they are.
+
+    A text that could not be improved stays as it was, with a note at its end.
+    """
     names = results.columns
 
     def run(batches):
         for b in batches:
-            yield batch([(d, enhanced(p, t)) for d, t in rows(b, "doc_id", text)], ["doc_id", "_better"], [S, S])
-
-    better = results.select("doc_id", text).mapInArrow(run, "doc_id string, _better string")
-    return results.join(better, "doc_id").withColumn(text, F.col("_better")).select(*names)
+            out = []
+            for d, t in rows(b, "doc_id", text):
+                better, error = tried(p, t)
+                out.append((d, better if error is None else f"{better}\n\n<!-- enhancement failed: {error} -->", error))
+            yield batch(out, ["doc_id", "_better", "enhance_error"], [S, S, S])
+
+    better = results.select("doc_id", text).mapInArrow(run, "doc_id string, _better string, enhance_error string")
+    return results.join(better, "doc_id").withColumn(text, F.col("_better")).select(*names, "enhance_error")

@@ -116,7 +116,7 @@ def stats(sections: Column) -> Column:
 
 
 def convert_files(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, status, error, markdown, structured, images, metadata): one row for each file, failed ones too.
+    """(doc_id, status, error, enhance_error, markdown, structured, images, metadata): one row for each file, failed ones too.
 
     ``files`` has doc_id, file_type, content.
     """
@@ -133,6 +133,8 @@ def convert_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     base = base.withColumn("markdown", clean_markdown(F.col("markdown"), config, not config.extract_tables))
     if config.use_llm:
         base = en.enhance(base, en.provider(config.llm_provider, config.llm_model, config.llm_host, config.llm_api_key))
+    else:
+        base = base.withColumn("enhance_error", F.lit(None).cast("string"))
     meta = decoded.where("meta IS NOT NULL").select("doc_id", "meta")
     failed = decoded.where("error IS NOT NULL").select("doc_id", "error")
     out = files.select("doc_id", "file_type").join(base, "doc_id", "left").join(meta, "doc_id", "left").join(failed, "doc_id", "left")
@@ -152,7 +154,7 @@ def convert_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     done = F.col("error").isNull()
     md = F.coalesce("markdown", F.lit(""))
     structured = F.to_json(F.struct(title.alias("title"), meta.alias("metadata"), F.col("sections"), refs.alias("images"), stats(F.coalesce("sections", F.array().cast(_SECTIONS))).alias("stats"), md.alias("markdown")))
-    return out.select("doc_id", F.when(done, "ok").otherwise("failed").alias("status"), "error", F.when(done, md).alias("markdown"), F.when(done, structured).alias("structured"), "images", F.when(done, meta).alias("metadata"))
+    return out.select("doc_id", F.when(done, "ok").otherwise("failed").alias("status"), "error", "enhance_error", F.when(done, md).alias("markdown"), F.when(done, structured).alias("structured"), "images", F.when(done, meta).alias("metadata"))
 
 
 _SECTIONS = "array<struct<type:string,level:int,content:string,prefix:string,headers:array<string>,rows:array<array<string>>,source:string,score:double,path:string>>"

@@ -250,6 +250,23 @@ def _rebuilt(spark, d):
     return t.select(*KEY, F.size("headers").alias("n_columns"), F.size("rows").alias("n_rows"))
 
 
+def columns_rebuilt(spark, d):
+    """Tables of plain cells whose columns are run together, three blanks apart, and rebuilt."""
+    plain = lambda cells: F.forall(cells, lambda c: c.rlike(r"^\S+( \S+)*$") & ~F.contains(c, F.lit("|")))
+    t = _tables(spark, d).select(*KEY, "headers", "rows").where(F.size("headers") >= 2).where(
+        plain(F.col("headers")) & F.coalesce(F.forall("rows", lambda r: (F.size(r) == F.size("headers")) & plain(r)), F.lit(False)))
+    one = lambda r: F.array(F.array_join(r, "   "))
+    x = tb.reconstruct(t.select(*KEY, one(F.col("headers")).alias("headers"), F.transform("rows", one).alias("rows")))
+    return x.select(*KEY, F.size("headers").alias("n_columns"), F.size("rows").alias("n_rows"))
+
+
+_OK = "NOT list_contains(list_transform({x}, lambda c: coalesce(regexp_matches(c, '^[^\\s]+( [^\\s]+)*$') AND NOT contains(c, '|'), false)), false)"
+_COLUMNS = f"""WITH src AS (SELECT DISTINCT doc_id, page, table_no, headers, rows FROM extracted_tables WHERE len(headers) >= 2 AND rows IS NOT NULL AND {_OK.replace('{x}', 'headers')} AND {_OK.replace('{x}', 'flatten(rows)')} AND NOT list_contains(list_transform(rows, lambda r: len(r) = len(headers)), false)),
+ one_col AS (SELECT doc_id, page, table_no, [array_to_string(headers, '   ')] AS headers, list_transform(rows, lambda r: [array_to_string(r, '   ')]) AS rows FROM src),
+ new AS (WITH {FACTS.replace('extracted_tables', 'src')} SELECT doc_id, page, table_no, score AS new_score FROM scored), old AS (WITH {FACTS.replace('extracted_tables', 'one_col')} SELECT doc_id, page, table_no, score AS old_score FROM scored)
+ SELECT doc_id, page, table_no, CAST(CASE WHEN len(rows) >= 1 AND new_score > old_score THEN len(headers) ELSE 1 END AS INT) AS n_columns, CAST(len(rows) AS INT) AS n_rows FROM src JOIN new USING (doc_id, page, table_no) JOIN old USING (doc_id, page, table_no)"""
+
+
 def _deduped(spark, d):
     return tb.dedupe_list(_tables(spark, d).select(*KEY, "headers", "rows")).select(*KEY)
 
@@ -318,6 +335,7 @@ QUERIES = {
     "table_to_json": _json,
     "accepted_tables": _accepted,
     "rebuilt_columns": _rebuilt,
+    "columns_rebuilt": columns_rebuilt,
     "table_dedupe_list": _deduped,
     "multiline_expand": _expanded,
     "cell_repair": _repaired,
@@ -348,6 +366,7 @@ SQL = {
     "table_to_json": _JSON,
     "multiline_expand": _EXPANDED,
     "table_dedupe_list": _DEDUPED,
+    "columns_rebuilt": _COLUMNS,
     "cell_repair": f"WITH {RAW} SELECT doc_id, page, table_no, md5(CAST(to_json(list_transform(matrix, lambda r: list_transform(coalesce(r, []), lambda c: {_REPAIR}))) AS VARCHAR)) AS digest FROM raw",
     "cells_repaired": _CELLS_REPAIRED,
 }
