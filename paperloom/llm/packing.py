@@ -32,7 +32,7 @@ from paperloom.session import materialise
 ISLANDS = 4
 POPULATION = 12
 #: An epoch ends after so many children without a gain, the evolution after so many epochs.
-PATIENCE = 60
+PATIENCE = 30
 STALLED = 2
 #: So many sizes are tried as the first of three items that fill a container, and of two that are swapped in.
 TRIES_FILL, TRIES_SWAP = 6, 24
@@ -260,7 +260,12 @@ def improved_counts(bins: Counter, left: Counter, cap: int, rng: random.Random |
     return +out, +left
 
 
-def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: random.Random) -> Counter:
+def ranked(people: Counter) -> list[tuple[int, Pattern]]:
+    """The patterns of a packing with what they hold, fullest first."""
+    return sorted(((held(p), p) for p in people), key=lambda x: (-x[0], x[1]))
+
+
+def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: random.Random, of_a: list | None = None, of_b: list | None = None) -> Counter:
     """Well-filled containers of ``b`` in ``a``; what they displace makes others fuller by swaps, and best fit places the rest."""
     left, child = Counter(supply), Counter()
 
@@ -271,16 +276,19 @@ def crossover_counts(a: Counter, b: Counter, supply: Counter, cap: int, rng: ran
             for s, k in p:
                 left[s] -= n * k
 
-    ranked = sorted(b, key=lambda p: (-held(p), p))
-    best = ranked[: max(1, len(ranked) // 2)]
+    of_a, of_b = of_a or ranked(a), of_b or ranked(b)
+    best = [p for _, p in of_b[: max(1, len(of_b) // 2)]]
     for p in [p for p in best if rng.random() < 0.5] or best[:1]:
         take(p, b[p])
     # the emptier containers give their items up as well, and so do some of the others
-    rest = sorted(a, key=lambda p: (-held(p), rng.random()))
     drop = rng.choice((0.02, 0.1, 0.3))
-    for p in rest:
-        if held(p) == cap or rng.random() < 0.5:
-            take(p, sum(rng.random() >= drop for _ in range(a[p])) if a[p] <= 50 else round(a[p] * (1 - drop)))
+    for full, p in of_a:
+        if full == cap or rng.random() < 0.5:
+            n = a[p]
+            if n <= 4:
+                take(p, sum(rng.random() >= drop for _ in range(n)))
+            else:
+                take(p, int(n * (1 - drop) + rng.random()))
     child, left = improved_counts(child, +left, cap, rng)
     order = sorted(left, reverse=True) if rng.random() < 0.5 else _blurred(left, rng)
     return filled_counts(left, cap, child, order, rng) if rng.random() < 0.25 else best_fit_counts(left, cap, child, order)
@@ -290,24 +298,21 @@ def evolve_counts(supply: Counter, cap: int, start: list[Counter], seed: int) ->
     """The best packing one island finds from the packings it is given and its own."""
     rng = random.Random(seed)
     least = -(-sum(s * n for s, n in supply.items()) // cap)
-    worth = lambda p: fitness(p, cap)
-    people = [*start, best_fit_counts(supply, cap, Counter())]
-    people.sort(key=worth)
-    while people[0].total() > least and len(people) < POPULATION:
-        if len(people) % 2:
-            people.append(filled_counts(supply, cap, Counter(), _blurred(supply, rng), rng))
-        else:
-            people.append(best_fit_counts(supply, cap, Counter(), _blurred(supply, rng)))
-        people.sort(key=worth)
+    known = lambda p: (fitness(p, cap), p, ranked(p))
+    people = sorted(map(known, [*start, best_fit_counts(supply, cap, Counter())]), key=lambda x: x[0])
+    while people[0][0][0] > least and len(people) < POPULATION:
+        order = _blurred(supply, rng)
+        people.append(known(filled_counts(supply, cap, Counter(), order, rng) if len(people) % 2 else best_fit_counts(supply, cap, Counter(), order)))
+        people.sort(key=lambda x: x[0])
     idle = 0
-    while people[0].total() > least and idle < PATIENCE:
-        a, b = rng.sample(people, 2)
-        child = crossover_counts(a, b, supply, cap, rng)
-        idle = 0 if child.total() < people[0].total() else idle + 1
-        if worth(child) < worth(people[-1]) and child not in people:
+    while people[0][0][0] > least and idle < PATIENCE:
+        (_, a, of_a), (_, b, of_b) = rng.sample(people, 2)
+        child = known(crossover_counts(a, b, supply, cap, rng, of_a, of_b))
+        idle = 0 if child[0][0] < people[0][0][0] else idle + 1
+        if child[0] < people[-1][0] and all(child[1] != p for _, p, _ in people):
             people[-1] = child
-            people.sort(key=worth)
-    return people[0]
+            people.sort(key=lambda x: x[0])
+    return people[0][1]
 
 
 def _counted(bins: list[Bin], sizes: list[int]) -> Counter:
