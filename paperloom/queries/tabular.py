@@ -307,6 +307,38 @@ def cells_repaired(spark, d):
 
 _CELLS_REPAIRED = f"""WITH {CELLS}, b AS (SELECT doc_id, page, table_no, CAST(col_no - 1 AS INT) AS col_no, CASE WHEN length(cell) % 5 = 0 THEN cell || ' at P )' WHEN length(cell) % 5 = 1 THEN 'T  A ' || cell ELSE cell END AS cell FROM (SELECT doc_id, page, table_no, CAST(generate_subscripts(headers, 1) AS INT) AS col_no, unnest(headers) AS cell FROM t) WHERE cell IS NOT NULL),
  f AS (SELECT *, {_REPAIR.replace("replace(c, 'T 9', 'T A')", 'cell')} AS fixed FROM b) SELECT doc_id, page, table_no, col_no, fixed FROM f WHERE fixed <> cell"""
+def _accepted_sql() -> str:
+    """The same in SQL: checks on the raw tables, then headers merged and rows expanded, then a fold over the tables of a page."""
+    numbers = f"len(list_filter(matrix[1], lambda c: {s("coalesce(c, '')")} <> '' AND NOT regexp_matches({s("coalesce(c, '')")}, '^\\d+$'))) = 0"
+    raw = RAW.replace(" raw AS (", " raw0 AS (").replace(" rr AS (", f" raw AS (SELECT doc_id, page, table_no, source, bbox, CASE WHEN source LIKE 'camelot%' AND len(matrix) >= 2 AND {numbers} THEN matrix[2:] ELSE matrix END AS matrix FROM raw0), rr AS (")
+    head, _, tail = _VALID.replace(RAW, raw).partition("\n SELECT doc_id, page, table_no, source, ")
+    reason = tail.rpartition(" AS reason FROM v")[0]
+    words = "list_distinct(list_filter(string_split_regex(lower({x}), '[\\s\\pZ]+'), lambda w: w <> ''))"
+    stop = ", ".join(f"'{w}'" for w in rules.HEADER_STOP_WORDS)
+    share = "coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(greatest(len({a}), len({b})), 0), 0) > 0.3 AND len({a}) > 0 AND len({b}) > 0"
+    return f"""{head.replace('WITH ', 'WITH RECURSIVE ', 1)},
+ ok AS (SELECT doc_id, page, table_no, source, quality AS score FROM v WHERE ({reason}) IS NULL),
+ mk AS (SELECT doc_id, page, table_no, count(*) FILTER (row_no = 1 AND {_S} <> '' AND NOT {_NUM}) > count(*) FILTER (row_no = 1 AND {_S} <> '' AND {_NUM}) AS merge FROM c GROUP BY ALL),
+ kk AS (SELECT doc_id, page, table_no, row_no, length(cell) - length(replace(cell, chr(10), '')) + 1 AS n, col_no FROM c WHERE row_no > 0 AND {_S} <> ''),
+ kg AS (SELECT doc_id, page, table_no, row_no, n, count(*) AS cells, min(col_no) AS first_col FROM kk GROUP BY ALL), km AS (SELECT doc_id, page, table_no, row_no, arg_max(n, cells * 1000 - first_col) AS common FROM kg GROUP BY ALL),
+ ke AS (SELECT kk.doc_id, kk.page, kk.table_no, kk.row_no, CASE WHEN any_value(common) >= 3 AND count(*) FILTER (abs(n - common) <= 1)::DOUBLE / count(*) >= 0.6 THEN any_value(common) ELSE 1 END AS becomes FROM kk JOIN km USING (doc_id, page, table_no, row_no) GROUP BY ALL),
+ body AS (SELECT rr.doc_id, rr.page, rr.table_no, sum(coalesce(becomes, 1)) AS n_rows FROM rr JOIN mk USING (doc_id, page, table_no) LEFT JOIN ke USING (doc_id, page, table_no, row_no) WHERE rr.row_no > CASE WHEN merge THEN 1 ELSE 0 END GROUP BY ALL),
+ hw AS (SELECT c.doc_id, c.page, c.table_no, string_agg(CASE WHEN row_no = 0 OR merge THEN {_S} ELSE '' END, ' ' ORDER BY col_no) AS heads FROM c JOIN mk USING (doc_id, page, table_no) WHERE row_no <= 1 GROUP BY ALL),
+ fw AS (SELECT c.doc_id, c.page, c.table_no, string_agg({s("CASE WHEN becomes > 1 THEN string_split(cell, chr(10))[1] ELSE cell END")}, ' ' ORDER BY col_no) AS firsts FROM c JOIN mk USING (doc_id, page, table_no) LEFT JOIN ke USING (doc_id, page, table_no, row_no) WHERE row_no = CASE WHEN merge THEN 2 ELSE 1 END GROUP BY ALL),
+ a AS (SELECT ok.*, bbox, len(matrix[1]) AS n_columns, coalesce(n_rows, 0) AS n_rows, list_filter({words.replace('{x}', "coalesce(heads, '')")}, lambda w: w NOT IN ({stop})) AS hw, {words.replace('{x}', "coalesce(firsts, '')")} AS fw,
+  row_number() OVER (PARTITION BY doc_id, page ORDER BY table_no) AS k FROM ok JOIN raw USING (doc_id, page, table_no) LEFT JOIN body USING (doc_id, page, table_no) LEFT JOIN hw USING (doc_id, page, table_no) LEFT JOIN fw USING (doc_id, page, table_no)),
+ m AS (SELECT y.doc_id, y.page, y.k, x.k AS j, abs(x.n_columns - y.n_columns) <= 1 AND (({share.format(a='x.hw', b='y.hw')}) OR ({share.format(a='x.fw', b='y.fw')})) AS alike,
+  coalesce(least(x.bbox.x1, y.bbox.x1) > greatest(x.bbox.x0, y.bbox.x0) AND least(x.bbox.y1, y.bbox.y1) > greatest(x.bbox.y0, y.bbox.y0) AND (least(x.bbox.x1, y.bbox.x1) - greatest(x.bbox.x0, y.bbox.x0)) * (least(x.bbox.y1, y.bbox.y1) - greatest(x.bbox.y0, y.bbox.y0))
+   > 0.5 * least((x.bbox.x1 - x.bbox.x0) * (x.bbox.y1 - x.bbox.y0), (y.bbox.x1 - y.bbox.x0) * (y.bbox.y1 - y.bbox.y0)) AND x.bbox IS NOT NULL AND y.bbox IS NOT NULL, false) AS over,
+  y.n_rows * y.score > x.n_rows * x.score AS by_rows, y.n_columns * y.score > x.n_columns * x.score AS by_columns FROM a x JOIN a y ON x.doc_id = y.doc_id AND x.page = y.page AND x.k < y.k),
+ h AS (SELECT doc_id, page, k, list(j) AS met, list(j) FILTER (CASE WHEN alike THEN by_rows ELSE by_columns END) AS won FROM m WHERE alike OR over GROUP BY ALL),
+ n AS (SELECT a.doc_id, a.page, a.k, coalesce(met, []) AS met, coalesce(won, []) AS won FROM a LEFT JOIN h USING (doc_id, page, k)),
+ z AS (SELECT doc_id, page, k, [k] AS have FROM n WHERE k = 1 UNION ALL SELECT n.doc_id, n.page, n.k, CASE WHEN len(list_intersect(have, met)) = 0 THEN list_append(have, n.k)
+  WHEN list_contains(won, list_filter(have, lambda j: list_contains(met, j))[1]) THEN list_append(list_filter(have, lambda j: j <> list_filter(have, lambda i: list_contains(met, i))[1]), n.k) ELSE have END FROM z JOIN n ON n.doc_id = z.doc_id AND n.page = z.page AND n.k = z.k + 1),
+ last AS (SELECT doc_id, page, arg_max(have, k) AS have FROM z GROUP BY ALL)
+ SELECT doc_id, page, table_no, source, CAST(n_columns AS INT) AS n_columns, CAST(n_rows AS INT) AS n_rows, {_ROUND.format(x='score')} AS score FROM a JOIN last USING (doc_id, page) WHERE list_contains(have, k)"""
+
+
 def _facts(column):
     return lambda spark, d: tb.facts(_tables(spark, d)).select(*KEY, F.round(column(), 6).alias("value"))
 
@@ -365,6 +397,7 @@ SQL = {
     "table_to_markdown": _MD,
     "table_to_json": _JSON,
     "multiline_expand": _EXPANDED,
+    "accepted_tables": _accepted_sql(),
     "table_dedupe_list": _DEDUPED,
     "columns_rebuilt": _COLUMNS,
     "cell_repair": f"WITH {RAW} SELECT doc_id, page, table_no, md5(CAST(to_json(list_transform(matrix, lambda r: list_transform(coalesce(r, []), lambda c: {_REPAIR}))) AS VARCHAR)) AS digest FROM raw",
