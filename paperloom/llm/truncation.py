@@ -37,6 +37,7 @@ from paperloom.session import materialise
 
 # What is put where a text was cut.
 MARKS = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…|[a-z ]*(?:not shown|truncated|omitted|cut off|continued|continues|missing)[a-z ]*)\]|\.{3,}|…|�+|(?<=[\w ])[-‐¬]))+$", re.I)
+_LAST_OF_MARK = tuple("].…�-‐¬")
 _RULE = re.compile(r"^(?:-{3,}|\*{3,}|_{3,}|(?:\* ){2,}\*|(?:- ){2,}-)$")
 _STOP = re.compile(r"[.!?。！？][\"'”»’)\]*_`]*$")
 _NUMBER_STOP = re.compile(r"(?:^|\s)(?:\d{1,3}(?:,\d{3})*|\d+)\.$")
@@ -51,12 +52,19 @@ LEAD_TIMES = 2
 EVIDENCE = ("copy", "line", "lead", "word", "rule")
 
 
+def _mark(text: str) -> re.Match | None:
+    """The marks of a cut at the end of a text without white space there; the last character tells most texts apart."""
+    if text[-1:] not in _LAST_OF_MARK or (text[-1:] == "." and not text.endswith("...")):
+        return None
+    return MARKS.search(text)
+
+
 def tail(text: str) -> tuple[str, str]:
     """(state, unit): state is done, cut, or open; the unit to look up is the last line without its markup, "" if there is none."""
     t = text.rstrip().rstrip("﻿​").rstrip()
     if not t:
         return "done", ""
-    marked = MARKS.search(t)
+    marked = _mark(t)
     bare = t[: marked.start()].rstrip() if marked else t
     if bare.count("```") % 2:
         return "cut", ""
@@ -86,18 +94,24 @@ def tail(text: str) -> tuple[str, str]:
     return "open", unit
 
 
-def _last_sentence(unit: str) -> str:
-    """What follows the last stop inside the unit; a stop ends a sentence of three words or more, or is a wide one."""
-    begin = 0
-    for m in re.finditer(r"[.!?][\"”)]*\s+(?=\S)|[。！？]", unit):
+_INNER = re.compile(r"[.!?][\"”)]*\s+(?=\S)|[。！？]")
+
+
+def _sentence_ends(unit: str):
+    """The places behind stops inside the unit; a stop ends a sentence of three words or more, or is a wide one."""
+    for m in _INNER.finditer(unit):
         if m[0] in "。！？" or len(unit[: m.start()].split()) >= 3:
-            begin = m.end()
-    return unit[begin:]
+            yield m.end()
+
+
+def _last_sentence(unit: str) -> str:
+    """What follows the last stop inside the unit."""
+    return unit[max(_sentence_ends(unit), default=0) :]
 
 
 def _inner_stop(unit: str) -> bool:
-    """Whether the unit holds a finished sentence and more behind it."""
-    return _last_sentence(unit) != unit
+    """Whether the unit holds a finished sentence."""
+    return next(_sentence_ends(unit), None) is not None
 
 
 _DIGIT = re.compile(r"\d")
@@ -122,7 +136,7 @@ _CODES = re.compile(r"\b([A-Z]{1,4} \d[\w/.-]*\w|[A-Z]{1,4} \d)(?=\W)")
 def _unmarked(text: str) -> str:
     """The text without white space and a mark of a cut at its end."""
     t = text.rstrip()
-    m = MARKS.search(t)
+    m = _mark(t)
     return t[: m.start()].rstrip() if m else t
 
 
