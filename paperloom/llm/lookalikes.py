@@ -33,11 +33,15 @@ _JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "
 _SINGLE = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "IVXLCDMivxlcdm")
 
 
+#: The planes that have characters with decompositions: looking at no others makes the import quick.
+_PLANES = (*range(0x80, 0x20000), *range(0x2F800, 0x2FA20))
+
+
 def _drawn_otherwise() -> dict[str, str]:
     """Characters that Unicode has a second time in another width or as mathematical letters, and the plain ones."""
     alike = dict(zip(*("".join(x) for x in zip(*_ALIKE.values()))))
     out = {}
-    for i in range(0x80, 0x110000):
+    for i in _PLANES:
         kind, _, code = unicodedata.decomposition(chr(i)).partition(" ")
         if kind in ("<wide>", "<narrow>", "<font>") and " " not in code and chr(i) not in _BLANKS + _UNSEEN:
             plain = chr(int(code, 16))
@@ -48,21 +52,24 @@ def _drawn_otherwise() -> dict[str, str]:
 def _bases() -> dict[str, str]:
     """Letters with marks, and the letter that is left without them, of all scripts; of a Hangul syllable, its first."""
     out = {chr(i): unicodedata.normalize("NFD", chr(i))[0] for i in range(0xAC00, 0xD7A4)}
-    for i in range(0x80, 0x110000):
-        parts = unicodedata.normalize("NFD", chr(i))
-        letters = "".join(c for c in parts if unicodedata.category(c)[0] != "M")
-        if parts and parts != chr(i) and len(letters) == 1 and letters.isalnum():
-            out[chr(i)] = letters
+    for c in map(chr, _PLANES):
+        kind = unicodedata.decomposition(c)
+        if not kind or kind[0] == "<":
+            continue
+        letters = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M")
+        if len(letters) == 1 and letters.isalnum():
+            out[c] = letters
     return out
 
 
 def _apart() -> dict[str, str]:
     """Letters with marks whose letter is a look-alike, taken apart, so that both ways to write them are mapped alike."""
     alike = dict(zip(*("".join(x) for x in zip(*_ALIKE.values()))))
-    return {c: unicodedata.normalize("NFD", c).translate(str.maketrans(alike)) for c, base in _bases().items() if base in alike and c not in alike}
+    return {c: unicodedata.normalize("NFD", c).translate(str.maketrans(alike)) for c, base in _BASES.items() if base in alike and c not in alike}
 
 
-_OTHERWISE, _BASES, _APART = _drawn_otherwise(), _bases(), _apart()
+_OTHERWISE, _BASES = _drawn_otherwise(), _bases()
+_APART = _apart()
 FROM = "".join(a for a, _ in _ALIKE.values()) + _SINGLE[0] + "".join(_OTHERWISE) + _BLANKS
 TO = "".join(b for _, b in _ALIKE.values()) + _SINGLE[1] + "".join(_OTHERWISE.values()) + " " * len(_BLANKS)
 COLLATION = "UNICODE"
