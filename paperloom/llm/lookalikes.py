@@ -115,15 +115,22 @@ def classes(values: DataFrame, preferred: DataFrame | None = None, all_values: b
     v = values.where("value IS NOT NULL").select("value", F.lit(1).alias("one"), F.lit(None).cast("string").alias("wanted"))
     if preferred is not None:
         v = v.unionByName(preferred.where("value IS NOT NULL").select("value", F.lit(0).alias("one"), F.col("value").alias("wanted")))
-    v = v.withColumn("k", _coarse(mapped(F.col("value"))))
+    return _classes(_formed(v), all_values)
+
+
+def _formed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the form of their ``value`` and its key ``k``."""
+    return rows.withColumn("form", mapped(F.col("value"))).withColumn("k", _coarse(F.col("form")))
+
+
+def _classes(v: DataFrame, all_values: bool) -> DataFrame:
+    """``classes`` of ``v`` (value, one, wanted, form, k): ``one`` counts a row, ``wanted`` is the value if it is preferred."""
     # a value alone under its key is a class of its own: only numbers are shuffled to find that out
     h = F.xxhash64("value")
     several = v.groupBy("k").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("k")
-    shared = v.join(several, "k", "left_semi").groupBy("value").agg(F.sum("one").alias("copies"), F.min("wanted").alias("wanted"))
-    form = mapped(F.col("value"))
-    shared = materialise(shared.select("value", "copies", "wanted", _coarse(form).alias("k"), form.alias("form")))
+    shared = materialise(v.join(several, "k", "left_semi").groupBy("k", "form", "value").agg(F.sum("one").alias("copies"), F.min("wanted").alias("wanted")))
     shared.createOrReplaceTempView("paperloom_lookalike_values")
-    spark = values.sparkSession
+    spark = v.sparkSession
     # each form takes the smallest of the forms the collation calls equal; they are compared, since grouping or
     # joining by collated columns parts some equal texts (Spark 4.1); a key has few forms, which differ in marks
     spark.sql(f"""
@@ -148,12 +155,12 @@ def same_as(sections: DataFrame, refs: DataFrame) -> DataFrame:
     none is lost.  References that look alike are each linked with the sections
     of their class.  Null contents are no case; repeated rows count once.
     """
-    refs = refs.where("content IS NOT NULL").select("ref_id", F.col("content").alias("value"))
-    keys = refs.select(_coarse(mapped(F.col("value"))).alias("k")).distinct()
-    rows = sections.where("content IS NOT NULL").select("doc_id", "seq", F.col("content").alias("value"))
-    rows = rows.withColumn("k", _coarse(mapped(F.col("value")))).join(keys, "k", "left_semi").select("doc_id", "seq", "value")
+    refs = materialise(_formed(refs.where("content IS NOT NULL").select("ref_id", F.col("content").alias("value"))))
+    rows = _formed(sections.where("content IS NOT NULL").select("doc_id", "seq", F.col("content").alias("value")))
     # few rows are left here; read once, used for the classes and for the result
-    rows = materialise(rows)
-    found = materialise(classes(rows.select("value"), refs.select("value"), all_values=False))
+    rows = materialise(rows.join(refs.select("k").distinct(), "k", "left_semi"))
+    v = rows.select("value", F.lit(1).alias("one"), F.lit(None).cast("string").alias("wanted"), "form", "k")
+    v = v.unionByName(refs.select("value", F.lit(0).alias("one"), F.col("value").alias("wanted"), "form", "k"))
+    found = materialise(_classes(v, all_values=False))
     hit = found.join(refs.join(found, "value").select("ref_id", F.col("value").alias("wanted"), "canonical"), "canonical").where("value <> wanted")
     return rows.join(hit.select("value", "ref_id"), "value").select("ref_id", "doc_id", "seq").distinct()
