@@ -374,7 +374,7 @@ def _evolved(items: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     epoch = idle = 0
     while True:
         # a number of partitions that is named is kept, so that the islands run side by side though their rows are few
-        now = now.withColumn("epoch", F.lit(epoch)).repartition(ISLANDS * len(least), "target", "island")
+        now = now.withColumn("epoch", F.lit(epoch)).repartition(max(1, ISLANDS * len(least)), "target", "island")
         now = materialise(now.groupBy("target", "island").applyInArrow(_epoch, _SCHEMA))
         # one row for each target and island, which are bounded
         got = now.groupBy("target", "island").agg(F.sum("n").alias("bins"), F.sum(F.col("n") * F.pow(F.expr("aggregate(pattern, 0L, (a, x) -> a + x.size * x.k)") / F.col("cap"), 2)).alias("square")).collect()
