@@ -131,8 +131,8 @@ def _classes(v: DataFrame, all_values: bool) -> DataFrame:
     shared = materialise(v.join(several, "k", "left_semi").groupBy("k", "form", "value").agg(F.sum("one").alias("copies"), F.min("wanted").alias("wanted")))
     shared.createOrReplaceTempView("paperloom_lookalike_values")
     spark = v.sparkSession
-    # each form takes the smallest of the forms the collation calls equal; they are compared, since grouping or
-    # joining by collated columns parts some equal texts (Spark 4.1); a key has few forms, which differ in marks
+    # each form takes the smallest of the forms the collation calls equal; they are compared, since grouping or joining
+    # by the collated column parted some equal texts of large inputs here; a key has few forms, which differ in marks
     spark.sql(f"""
         WITH forms AS (SELECT DISTINCT k, form FROM paperloom_lookalike_values)
         SELECT a.k, a.form, min(b.form) AS class FROM forms a JOIN forms b
