@@ -74,6 +74,26 @@ def test_lines_of_any_width_and_long_words_count(spark):
     assert scans._near("a" * 500 + "bc", "a" * 500 + "cb", 2) and not scans._near("abcdef", "badcfe", 2) and scans._near("", "ab", 2)
 
 
+def test_known_words_are_bounded_before_they_reach_the_driver(spark, monkeypatch):
+    long = "rotorgehäuse" * 6
+    s, r = scanned(spark)
+    more = [("d", 5, "paragraph", f"The fitter of the works writes\nthat the {long.replace('rotor', 'r0tor', 1)} is closed."), *[("k", 10 + i, "paragraph", f"{long} {long}") for i in range(8)]]
+    s = s.select("doc_id", "seq", "type", "content").unionByName(spark.createDataFrame(more, "doc_id string, seq int, type string, content string")).repartition(4)
+    sent, known, frame, scan = [], [], type(s), scans._scan
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: sent.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    monkeypatch.setattr(scans, "_scan", lambda every, heads, words: known.append(words) or scan(every, heads, words))
+    results = []
+    for most in (50_000, 3, 0):
+        monkeypatch.setattr(scans, "KNOWN", most)
+        found = scans.findings(s, r).select("doc_id", "seq", "line_no", "kind", "wrong", "correct").distinct()
+        assert len(sent) == len(known) and not any("TakeOrdered" in p for p in sent)
+        results.append(sorted(tuple(map(str, x)) for x in collect(found)))
+    assert "rotor" in known[0] and long not in known[0] and max(map(len, known[0])) <= scans.LONGEST
+    assert [len(k) for k in known[1:]] == [3, 0] and results[0] == results[1] == results[2]
+    assert ("d", "5", "1", "misread", long.replace("rotor", "r0tor", 1), long) in results[0]
+
+
 def test_wrapped_text_without_noise_is_joined(spark):
     s, r = scanned(spark)
     more = [("d", 7, "paragraph", "At the test bay the fitter writes\na report on the annular winding."), ("d", 8, "code", "  x = 1\n\n\n\n  y = 2"), ("d", 9, "table", "| a | b |\n| - | - |\n| c | d |"), ("no scan", 1, "paragraph", "one line")]
